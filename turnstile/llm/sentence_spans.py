@@ -1,6 +1,7 @@
 """Substring dedup by sliding sentence spans (operator 10).
 
-A text is cut into sentences (long ones into pieces of LONG words). Every run of consecutive sentences that is as short
+A text is cut into sentences; one of more than LONG words is cut further, behind words that their hashes pick, so that the
+cuts do not depend on where the sentence begins. Every run of consecutive sentences that is as short
 as MIN_SENTENCES and MIN_WORDS allow is hashed: the shortest from each sentence on and the shortest up to each sentence, so
 that a repeated passage is covered to both of its ends. Hashes are joined across all documents. A run that occurs before,
 in an earlier document by id or earlier in the same one, is repeated, and its sentences go.
@@ -24,14 +25,30 @@ from pyspark.sql import functions as F
 from .common import stored
 
 MIN_SENTENCES, MIN_WORDS, LONG = 2, 20, 20
-SENTENCE = re.compile(r"(?:[^.!?\n ]*+ ++){%d}|[^.!?\n]*[.!?\n]+[ \t\r]*|[^.!?\n]+" % LONG)
+SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t\r]*|[^.!?\n]+")
+WORD = re.compile(r"[^ ]+ *| +")
+#: One word in so many ends a piece of a long sentence.
+CUT = 8
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LAST_ID = (1 << 63) - 1
 
 
 def sentences(text: str | None) -> list[str]:
     """Pieces that make up the text, in order."""
-    return SENTENCE.findall(text or "")
+    out: list[str] = []
+    for sentence in SENTENCE.findall(text or ""):
+        if sentence.count(" ") < LONG:
+            out.append(sentence)
+            continue
+        piece: list[str] = []
+        for word in WORD.findall(sentence):
+            piece.append(word)
+            if xxhash.xxh3_64_intdigest(word.strip().lower()) % CUT == 0:
+                out.append("".join(piece))
+                piece = []
+        if piece:
+            out.append("".join(piece))
+    return out
 
 
 def runs(pieces: list[str], min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
