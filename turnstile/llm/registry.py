@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mix_sources, near_dedup, pieces, quality_mcd, sentence_spans
+from . import addressable_codes, mix_sources, near_dedup, order_minhash, pieces, quality_mcd, sentence_spans, url_filter
 from .common import table
-from .vocabulary import piece_model
+from .vocabulary import piece_model, word_model
+
+
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_table(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +31,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode_documents(table(spark, sf_dir, "documents"), piece_model()))
 
 
+def op7_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addressable_codes.round_trip(table(spark, sf_dir, "documents"), word_model())
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources.mix_table(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
@@ -39,9 +51,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_order_minhash": op2_order_minhash,
+    "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_dedup": op5_near_dedup,
     "op6_pieces": op6_pieces,
+    "op7_addressable_codes": op7_addressable_codes,
     "op9_mix_sources": op9_mix_sources,
     "op10_sentence_spans": op10_sentence_spans,
     "pipeline": pipeline,
