@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import addressable_codes, mix_sources, near_dedup, order_minhash, pieces, quality_mcd, sentence_spans, url_filter
+from . import addressable_codes, katz_lm, mix_sources, near_dedup, order_minhash, pieces, quality_mcd, sentence_spans, url_filter
 from .common import table
 from .vocabulary import piece_model, word_model
 
 
+def op1_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_table(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_katz_lm": op1_katz_lm,
     "op2_order_minhash": op2_order_minhash,
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
