@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import addressable_codes, katz_lm, mix_sources, near_dedup, order_minhash, pieces, quality_mcd, sentence_spans, url_filter
+from . import addressable_codes, katz_lm, mix_sources, near_dedup, order_minhash, pieces, quality_mcd, sentence_spans, transcripts, url_filter
 from .common import table
 from .vocabulary import piece_model, word_model
 
@@ -39,6 +39,10 @@ def op7_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addressable_codes.round_trip(table(spark, sf_dir, "documents"), word_model())
 
 
+def op8_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.parse_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources.mix_table(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_pieces": op6_pieces,
     "op7_addressable_codes": op7_addressable_codes,
+    "op8_transcripts": op8_transcripts,
     "op9_mix_sources": op9_mix_sources,
     "op10_sentence_spans": op10_sentence_spans,
     "pipeline": pipeline,
