@@ -1,4 +1,5 @@
 """All queries by name, and the SQL each is held against."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from turnstile.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
