@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.operators import rules
+from turnstile.sources.tables import written
 
 LONG_MAX = (1 << 63) - 1
 MANUAL_BAN = 3600
@@ -124,7 +125,11 @@ def events(failures: DataFrame, commands: DataFrame | None = None) -> DataFrame:
 
 
 def all_rows(failures: DataFrame, policies: dict[str, Policy], commands: DataFrame | None = None, prune: bool = True) -> DataFrame:
-    """Bans, manual unbans and rejected commands. Addresses that never reach a raw threshold are left out before the fold."""
+    """Bans, manual unbans and rejected commands. Addresses that never reach a raw threshold are left out before the fold.
+
+    Failures are written out first, so that lines are matched once.
+    """
+    failures = written(failures, "failures")
     rows = events(failures, commands)
     if prune:
         hits = None
