@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MIN_SENTENCES, MIN_WORDS, LONG = 2, 20, 20
+MIN_SENTENCES, MIN_WORDS, LONG = 2, 20, 30
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t\r]*|[^.!?\n]+")
 WORD = re.compile(r"[^ ]+ *| +")
 #: One word in so many ends a piece of a long sentence.
-CUT = 8
+CUT = 16
+#: Rows of a result at a time.
+ROWS = 512
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LAST_ID = (1 << 63) - 1
 
@@ -76,9 +78,15 @@ def runs(pieces: list[str], min_sentences: int, min_words: int) -> tuple[np.ndar
     return i, j - i, value.view(np.int64)
 
 
+def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for at in range(0, len(pdf), ROWS):
+            yield pdf.iloc[at : at + ROWS]
+
+
 def _spans(min_sentences: int, min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _sliced(batches):
             parts = []
             for order, key, text in zip(pdf["_order"].to_numpy(), pdf["_key"].to_numpy(), pdf["text"]):
                 i, size, h = runs(sentences(text), min_sentences, min_words)
@@ -94,7 +102,7 @@ def _spans(min_sentences: int, min_words: int):
 
 
 def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in _sliced(batches):
         rows = []
         for doc, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
             pieces = sentences(text)
@@ -143,7 +151,7 @@ def clean_documents(docs: DataFrame, **options) -> DataFrame:
     hit = rows.filter("_row_spans IS NOT NULL").select("doc_id", "text", F.col("_row_spans").alias("spans"), F.struct(*others).alias("_others"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _sliced(batches):
             done = pd.concat(_clean(iter([pdf])))
             out = pd.DataFrame({"doc_id": pdf["doc_id"], "text": done["clean_text"].to_numpy(), "_others": pdf["_others"]})
             yield out[[bool((t or "").strip()) for t in out["text"]]]
