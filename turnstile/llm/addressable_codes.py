@@ -14,11 +14,13 @@ their text. A document longer than a segment has one of its own. Extra columns a
 from __future__ import annotations
 
 import array
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql.window import Window
 from .common import partitions, scratch
 
 #: Ids of a segment; bits of a rank block; words that a task remembers.
-SEGMENT, BLOCK, MEMORY = 1 << 18, 512, 400_000
+SEGMENT, BLOCK, MEMORY = 1 << 18, 512, 1_000_000
 HEAD = struct.Struct("<4sII")
 LEVEL = struct.Struct("<II")
 
@@ -92,12 +94,34 @@ class Codes:
         return out
 
 
+class Numbers(dict):
+    """Numbers for words, given out as words are asked for; ``new`` has those not yet encoded."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordIds:
     """Ids of white-space separated words; each word is encoded once while it is remembered.
 
-    The vocabulary's pre-tokeniser always splits at white space, so a text's ids are its words' ids in a row.
+    The vocabulary's pre-tokeniser always splits at white space, and between a letter and what is none, so a text's ids are
+    its words' ids in a row, with a last comma or full stop behind a letter as a word of its own. It also lowers A-Z, which
+    is done before, except in texts that might hold a special token.
     """
 
+    TAIL = re.compile(rb"(?<=[a-z])(?=[.,](?:[\x09-\x0d ]|\Z))")
+
+    def words(self, text: str) -> list[bytes]:
+        data = text.encode()
+        if b"<|" not in data:
+            data = self.TAIL.sub(b" ", data.lower())
+        return data.split()
+
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
@@ -105,29 +129,27 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.code = Numbers()
         self.flat, self.starts, self.sizes = array.array("I"), array.array("q"), array.array("q")
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and their number in each text."""
         if len(self.code) > MEMORY:
             self.forget()
-        words = [t.encode().split() for t in texts]
-        new = {w for ws in words for w in ws}.difference(self.code)
-        if new:
-            new = sorted(new)
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                self.code[w] = len(self.starts)
+        words = [self.words(t) for t in texts]
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(words)), np.int64)
+        if self.code.new:
+            for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.code.new], add_special_tokens=False):
                 self.starts.append(len(self.flat))
                 self.sizes.append(len(e.ids))
                 self.flat.extend(e.ids)
-        get = self.code.__getitem__
-        codes = np.fromiter((c for ws in words for c in map(get, ws)), np.int64)
+            self.code.new = []
         if not len(codes):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        sizes = np.array(self.sizes)[codes]
+        # Views of the arrays; they end with this call, before the arrays grow again.
+        sizes = np.frombuffer(self.sizes, np.int64)[codes]
         upto = np.cumsum(sizes)
-        ids = np.array(self.flat)[np.repeat(np.array(self.starts)[codes] - upto + sizes, sizes) + np.arange(upto[-1])]
+        ids = np.frombuffer(self.flat, np.uint32)[np.repeat(np.frombuffer(self.starts, np.int64)[codes] - upto + sizes, sizes) + np.arange(upto[-1])]
         ends = np.cumsum([len(ws) for ws in words])
         return ids.astype(np.uint32), np.diff(np.concatenate(([0], upto))[ends], prepend=0)
 
@@ -154,8 +176,8 @@ def _segments(model: str, end_id: int):
             return pd.DataFrame({"part": [part], "seq": [seq], "first": [first], "n_ids": [len(ids)], "doc_ids": [np.concatenate(docs).astype("<i8").tobytes()], "missing": [np.packbits(np.concatenate(none)).tobytes()], "lengths": [lengths.astype("<u4").tobytes()], "code": [encode(ids)]})
 
         for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                some = pdf.iloc[at : at + 64]
+            for at in range(0, len(pdf), 256):
+                some = pdf.iloc[at : at + 256]
                 ids, lengths = word_ids(model)([t or "" for t in some["text"]])
                 ids = np.insert(ids, np.cumsum(lengths), np.uint32(end_id))
                 lengths = lengths + 1
