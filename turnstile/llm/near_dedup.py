@@ -7,8 +7,9 @@ too far apart is confirmed on the full sets. Classes are the connected component
 
 No bucket is expanded into all of its pairs: equal sets count once, every member first meets the bucket's smallest
 document, and only a bucket that still holds several components goes on. A small one then compares members of different
-components; a large one is split by further bands and goes round again. What is still large after ROUNDS
-splits agrees on most registers and is compared across its components in full, so no case is left out.
+components. Large ones have an exact way of their own, a prefix join: two sets can only be as similar as the threshold if
+they share one of the first n - ceil(threshold * n) + 1 of their shingles in a common order, here from the rarest to the
+most frequent one. Copies that were changed too much to be links have rare shingles of their own there and meet nobody.
 
 Cases: null or empty texts, and texts without a word, have no shingles, link with nothing and are kept; a text with fewer
 words than a shingle is one shingle. A null id links with nothing, has a null component and is kept. Rows that share
@@ -24,13 +25,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
-#: A bucket of up to SMALL documents compares members of different components in full.
-SMALL, SPLITS, ROUNDS = 16, 8, 3
+#: A bucket of up to SMALL documents compares members of different components in full; larger ones go by prefixes.
+SMALL = 16
 #: Standard deviations below the threshold at which an estimate still goes on to the full sets.
 MARGIN = 6.0
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -185,6 +187,44 @@ def _links(pairs: DataFrame, sig: DataFrame, docs: DataFrame, k: int, threshold:
     return stored(full.select("a", "b", "text_a", "text_b").mapInPandas(_confirm(k, threshold), "a long, b long"), "near-links")
 
 
+def _shingle_rows(k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                some = pdf.iloc[at : at + 256]
+                sets = [shingles(t, k).view(np.int64) for t in some["text"]]
+                if sets:
+                    yield pd.DataFrame({"doc_id": np.repeat(some["doc_id"].to_numpy(), [len(x) for x in sets]), "shingle": np.concatenate(sets)})
+
+    return run
+
+
+def _by_prefix(large: DataFrame, sig: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components in large buckets that share a shingle of their prefixes; exact.
+
+    One side is of the documents outside their bucket's largest component, as each such pair has one.
+    """
+    members = stored(large.groupBy("doc_id").agg(F.min("component").alias("component")), "near-large-members")
+    counts = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    most = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
+    rest = stored(large.join(most, "key").filter("component <> most").select("doc_id").distinct(), "near-large-rest")
+    rows = docs.join(members, "doc_id", "left_semi").mapInPandas(_shingle_rows(k), "doc_id long, shingle long")
+    rows = stored(rows.distinct(), "near-large-shingles")
+    # The order: rarest first; a shingle of one document only can't be shared, but counts in its prefix.
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    by = Window.partitionBy("doc_id")
+    prefix = rows.join(often, "shingle").withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_at", F.row_number().over(by.orderBy("df", "shingle")))
+    prefix = prefix.filter((F.col("df") > 1) & (F.col("_at") <= F.col("_n") - F.ceil(F.col("_n") * threshold / 100) + 1))
+    prefix = stored(prefix.join(members, "doc_id").select("doc_id", "shingle", "component", "_n", "_at"), "near-prefixes")
+    x, y = prefix.join(rest, "doc_id", "left_semi").alias("x"), prefix.alias("y")
+    alike = (100 * F.col("x._n") >= threshold * F.col("y._n")) & (100 * F.col("y._n") >= threshold * F.col("x._n"))
+    # What two sets share is the shingle they meet at and what follows it, if it is their first; a later one says less.
+    shared = 1 + F.least(F.col("x._n") - F.col("x._at"), F.col("y._n") - F.col("y._at"))
+    enough = shared * (100 + threshold) >= threshold * (F.col("x._n") + F.col("y._n"))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & alike & enough)
+    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+
+
 def near_table(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -197,42 +237,29 @@ def near_table(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
     lead = stored(known.join(reps, "digest").filter("doc_id = rep").dropDuplicates(["doc_id", "digest"]).select("doc_id", "n_shingles", "regs", "bands"), "near-leads")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     places = lead.select("doc_id", F.explode("bands").alias("key"))
-    links = known.join(reps, "digest").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    tested = None
-    for round_ in range(ROUNDS + 1):
-        sizes = places.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("n > 1 AND low <> high")
-        sizes = stored(sizes, "near-buckets")
-        pairs = sizes.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-        many = places.join(sizes.filter("n > 2"), "key")
-        many = stored(many.select("key", "doc_id", "n", "low"), "near-places")
-        pairs = pairs.union(many.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "near-pairs")
-        found = _links(pairs, lead, texts, shingle, threshold)
-        tested = pairs if tested is None else tested.union(pairs)
-        links = links.union(found)
-        at = components(links)
-        # Buckets that still hold several components.
-        here = many.join(at, many["doc_id"] == at["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        mixed_ = here.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
-        here = stored(here.join(mixed_, "key", "left_semi"), "near-mixed")
-        small = here if round_ == ROUNDS else here.filter(F.col("n") <= SMALL)
-        x, y = small.alias("x"), small.alias("y")
-        cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")))
-        cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        cross = stored(cross, "near-cross")
-        found = _links(cross, lead, texts, shingle, threshold)
-        tested = tested.union(cross)
-        links = links.union(found)
-        large = here.filter(F.col("n") > SMALL)
-        if round_ == ROUNDS or large.isEmpty():
-            break
-        # Large ones are split by bands next to one that the key names.
-        next_ = F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda i: F.get("bands", F.pmod(F.col("key") + i, F.lit(BANDS)).cast("int")))
-        places = large.select("key", "doc_id").join(lead.select("doc_id", "bands"), "doc_id").select("doc_id", F.explode(F.transform(next_, lambda b: F.xxhash64("key", b))).alias("key")).distinct()
-        places = stored(places, "near-split")
-    at = stored(components(links), "near-components")
+    equal = known.join(reps, "digest").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    sizes = places.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("n > 1 AND low <> high")
+    sizes = stored(sizes, "near-buckets")
+    pairs = sizes.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    many = stored(places.join(sizes.filter("n > 2"), "key").select("key", "doc_id", "n", "low"), "near-places")
+    stars = stored(pairs.union(many.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))).distinct(), "near-pairs")
+    # The texts of all documents that share a bucket, dealt once for all that follows.
+    met = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
+    texts = stored(texts.join(met, "doc_id", "left_semi"), "near-texts")
+    links = _links(stars, lead, texts, shingle, threshold)
+    # Buckets that still hold several components.
+    at = components(equal.union(links))
+    here = many.join(at, many["doc_id"] == at["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    several = here.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
+    here = stored(here.join(several, "key", "left_semi"), "near-mixed")
+    small = here.filter(F.col("n") <= SMALL)
+    x, y = small.alias("x"), small.alias("y")
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")))
+    cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    large = here.filter(F.col("n") > SMALL)
+    more = cross.union(_by_prefix(large, lead, texts, shingle, threshold)).distinct().join(stars, ["a", "b"], "left_anti")
+    links = links.union(_links(stored(more, "near-cross"), lead, texts, shingle, threshold))
+    at = stored(components(equal.union(links)), "near-components")
     out = sig.join(at, sig["doc_id"] == at["node"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
