@@ -299,6 +299,37 @@ def test_10_spans(spark, docs, none, rows):
     assert sentence_spans.clean_table(none).count() == 0
 
 
+def test_10_every_passage_of_51_words_goes(spark):
+    rng = np.random.default_rng(10)
+    word = lambda k: [f"u{int(x):x}" + ("." if rng.random() < 0.08 else "") for x in rng.integers(1 << 40, 1 << 60, k)]
+    texts, size = [], {}
+    for i in range(300):
+        n = 51 + i % 50
+        passage = word(n)
+        texts += [(2 * i, " ".join(word(int(rng.integers(40))) + passage + word(int(rng.integers(40))))), (2 * i + 1, " ".join(word(int(rng.integers(40))) + passage + word(int(rng.integers(40)))))]
+        size[2 * i + 1] = n
+    one = " ".join(f"single{k}" for k in range(25)) + "."
+    periodic = "a b c " * 40
+    texts += [(1000, "Before it. " + one), (1001, "Quite other words. " + one), (1002, periodic)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r for r in sentence_spans.clean_table(df).collect()}
+    text = dict(texts)
+    before = set()
+    for d, t in texts[:600]:
+        clean = out[d]["clean_text"]
+        w, windows = words_of(t), set()
+        seen = np.zeros(len(w), bool)
+        for k in range(len(w) - 50):
+            windows.add(tuple(w[k : k + 51]))
+            seen[k : k + 51] |= tuple(w[k : k + 51]) in before
+        before |= windows
+        assert seen.sum() == size.get(d, 0)
+        lost = len(w) - len(words_of(clean))
+        assert seen.sum() - 23 <= lost <= seen.sum()
+    assert out[1000]["n_removed"] == 0 and words_of(out[1001]["clean_text"])[:3] == [b"quite", b"other", b"words."] and len(words_of(out[1001]["clean_text"])) < 28 - 12
+    assert periodic.startswith(out[1002]["clean_text"]) and 20 <= len(words_of(out[1002]["clean_text"])) < 60
+
+
 def test_pipeline_equals_its_parts(spark, docs, rows, tmp_path):
     import corpus_pipeline
 

@@ -1,10 +1,12 @@
 """Substring dedup by sliding sentence spans (operator 10).
 
-A text is cut into sentences; one of more than LONG words is cut further, behind words that their hashes pick, so that the
-cuts do not depend on where the sentence begins. Every run of consecutive sentences that is as short
-as MIN_SENTENCES and MIN_WORDS allow is hashed: the shortest from each sentence on and the shortest up to each sentence, so
-that a repeated passage is covered to both of its ends. Hashes are joined across all documents. A run that occurs before,
-in an earlier document by id or earlier in the same one, is repeated, and its sentences go.
+A text is cut into sentences, and every sentence, whatever its length, behind words that their hashes pick: the word of
+the smallest hash in each WINDOW consecutive words. Which words these are depends on those windows alone, so a passage
+is cut alike wherever it stands and no piece has more than WINDOW words. The MIN_WORDS words from each piece on and the
+MIN_WORDS words up to the end of each piece are a run. Runs are hashed by their words and met across all documents; one
+that occurs before, in an earlier document by id or earlier in the same one without overlap, is repeated, and the pieces
+that repeated runs cover whole go. So a repeated passage of WINDOW + MIN_WORDS words or more is always found, and all of
+it goes but WINDOW words at most at its start and WINDOW - 1 at its end.
 
 Cases: null and empty texts have no sentences and stay as they are; null ids come after all others. Rows that
 share an id count as one document: runs shared between them stay, unless another document had them first. Case and
@@ -21,61 +23,80 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored
 
-MIN_SENTENCES, MIN_WORDS, LONG = 2, 20, 30
-SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t\r]*|[^.!?\n]+")
-WORD = re.compile(r"[^ ]+ *| +")
-#: One word in so many ends a piece of a long sentence.
-CUT = 16
+#: Pieces that a run touches and words that it has, at least; a piece ends in every so many words.
+MIN_SENTENCES, MIN_WORDS, WINDOW = 2, 20, 12
+BLANK = " \t\n\r\f\v"
+#: A word with what ends it; marks and blanks without a word.
+TOKEN = re.compile(r"[^.!?\s]+(?:[.!?\n]+[ \t\r]*|[ \t\r\f\v]*)|[.!?\n]+[ \t\r]*|[ \t\r\f\v]+", re.ASCII)
 #: Rows of a result at a time.
 ROWS = 512
 BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 LAST_ID = (1 << 63) - 1
+#: Tokens remembered, and their longest.
+REMEMBERED, LONGEST = 1 << 17, 64
+
+
+class _Tokens(dict):
+    """The hash of a token's word; the lowest bit tells that a sentence ends, the next one that there is a word."""
+
+    def __missing__(self, token: str) -> int:
+        word = token.strip(BLANK).lower()
+        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ~3 | bool(word) << 1 | (token.rstrip(" \t\r")[-1:] in (".", "!", "?", "\n"))
+        if len(token) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[token] = value
+        return value
+
+
+KNOWN = _Tokens()
+
+
+def cut(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The text's tokens, where each piece ends among them, the words before each piece and in all, the words' hashes."""
+    tokens = TOKEN.findall(text or "")
+    value = np.fromiter(map(KNOWN.__getitem__, tokens), np.uint64, len(tokens))
+    word = (value & np.uint64(2)) > 0
+    last = (value & np.uint64(1)) > 0
+    h = value[word] >> np.uint64(2)
+    if len(h) >= WINDOW:
+        least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(1) + np.arange(len(h) - WINDOW + 1)
+        last[np.flatnonzero(word)[least]] = True
+    last[-1:] = True
+    ends = np.flatnonzero(last) + 1
+    return tokens, ends, np.concatenate(([0], np.cumsum(word)[ends - 1])), h
 
 
 def sentences(text: str | None) -> list[str]:
     """Pieces that make up the text, in order."""
-    out: list[str] = []
-    for sentence in SENTENCE.findall(text or ""):
-        if sentence.count(" ") < LONG:
-            out.append(sentence)
-            continue
-        piece: list[str] = []
-        for word in WORD.findall(sentence):
-            piece.append(word)
-            if xxhash.xxh3_64_intdigest(word.strip().lower()) % CUT == 0:
-                out.append("".join(piece))
-                piece = []
-        if piece:
-            out.append("".join(piece))
-    return out
-
-
-def runs(pieces: list[str], min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First sentence, length and hash of every run."""
-    n = len(pieces)
-    words = [p.encode().lower().split() for p in pieces]
-    upto = np.concatenate(([0], np.cumsum([len(w) for w in words])))
-    start = np.arange(n)
-    end = np.maximum(np.searchsorted(upto, upto[:n] + min_words), start + min_sentences)
-    from_ = np.minimum(np.searchsorted(upto, upto[1:] - min_words, side="right") - 1, start + 1 - min_sentences)
-    pairs = np.concatenate((np.stack((start, end), 1)[end <= n], np.stack((from_, start + 1), 1)[from_ >= 0]))
-    pairs = np.unique(pairs, axis=0)
+    tokens, ends, *_ = cut(text)
+    return ["".join(tokens[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def runs(upto: np.ndarray, h: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end and hash of every run, in order."""
+    n, at = len(h), np.unique(upto)
+    k = np.arange(len(at) - 1)
+    end = np.maximum(at[:-1] + min_words, at[np.minimum(k + min_sentences - 1, len(k))] + 1)
+    from_ = np.minimum(at[1:] - min_words, at[np.maximum(k + 2 - min_sentences, 0)] - 1)
+    pairs = np.unique(np.concatenate(((at[:-1] << 32 | end)[end <= n], (from_ << 32 | at[1:])[from_ >= 0])))
+    i, j = pairs >> 32, pairs & 0xFFFFFFFF
     if not len(pairs):
-        return pairs[:, 0], pairs[:, 0], np.empty(0, np.int64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words), np.uint64, n)
+        return i, j, np.empty(0, np.int64)
     power = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, BASE), dtype=np.uint64)))
     # sums[j] - sums[i] is the run's polynomial times BASE**i; the inverse takes that out.
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)))
-    inverse = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, np.uint64(pow(int(BASE), -1, 1 << 64))), dtype=np.uint64)))
-    i, j = pairs[:, 0], pairs[:, 1]
+    inverse = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, INVERSE), dtype=np.uint64)))
     value = (sums[j] - sums[i]) * inverse[i] + (j - i).astype(np.uint64)
     value ^= value >> np.uint64(32)
     value *= np.uint64(0xD6E8FEB86659FD93)
     value ^= value >> np.uint64(29)
-    return i, j - i, value.view(np.int64)
+    return i, j, value.view(np.int64)
 
 
 def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,75 +105,98 @@ def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf.iloc[at : at + ROWS]
 
 
-def _spans(min_sentences: int, min_words: int):
+def _hashes(min_sentences: int, min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _sliced(batches):
             parts = []
-            for order, key, text in zip(pdf["_order"].to_numpy(), pdf["_key"].to_numpy(), pdf["text"]):
-                i, size, h = runs(sentences(text), min_sentences, min_words)
-                if len(h):
-                    again = np.ones(len(h), bool)
-                    again[np.unique(h, return_index=True)[1]] = False
-                    parts.append((np.full(len(h), order), np.full(len(h), key), i, size, h, again))
+            for order, part, text in zip(pdf["_order"].to_numpy(), pdf["_part"].to_numpy(), pdf["text"]):
+                _, _, upto, h = cut(text)
+                found, n = np.unique(runs(upto, h, min_sentences, min_words)[2], return_counts=True)
+                if len(found):
+                    parts.append((found, np.full(len(found), order), np.full(len(found), part), n > 1))
             if parts:
-                cols = [np.concatenate(c) for c in zip(*parts)]
-                yield pd.DataFrame({"_order": cols[0], "_key": cols[1], "at": cols[2].astype(np.int32), "size": cols[3].astype(np.int32), "hash": cols[4], "again": cols[5]})
+                yield pd.DataFrame(dict(zip(("hash", "_order", "_part", "again"), (np.concatenate(c) for c in zip(*parts)))))
 
     return run
 
 
-def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in _sliced(batches):
-        rows = []
-        for doc, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
-            pieces = sentences(text)
-            gone = np.zeros(len(pieces) + 1, np.int64)
-            if spans is not None and len(spans):
-                s = np.asarray(spans, dtype=np.int64)
-                np.add.at(gone, s >> 32, 1)
-                np.add.at(gone, (s >> 32) + (s & 0xFFFFFFFF), -1)
-            gone = np.cumsum(gone)[:-1] > 0
-            out = text if not gone.any() else "".join(p for p, g in zip(pieces, gone) if not g)
-            rows.append((doc, len(pieces), int(gone.sum()), np.flatnonzero(gone).astype(np.int32), out))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_sentences", "n_removed", "removed", "clean_text"]).astype({"doc_id": "Int64"})
+def repeated(upto: np.ndarray, h: np.ndarray, theirs: np.ndarray, own: np.ndarray, min_sentences: int, min_words: int) -> np.ndarray:
+    """For every piece, whether it goes: runs of theirs do, those of own from their second place on."""
+    i, j, value = runs(upto, h, min_sentences, min_words)
+    gone = np.isin(value, theirs)
+    kept_to = {}
+    for k in np.flatnonzero(np.isin(value, own)).tolist():
+        gone[k] |= i[k] >= kept_to.setdefault(value[k], j[k])
+    depth = np.zeros(len(h) + 1, np.int64)
+    np.add.at(depth, i[gone], 1)
+    np.add.at(depth, j[gone], -1)
+    left = np.concatenate(([0], np.cumsum(np.cumsum(depth)[:-1] == 0)))
+    # A piece without words goes with the words on both sides of it.
+    empty = upto[1:] == upto[:-1]
+    first, end = np.where(empty, np.maximum(upto[:-1] - 1, 0), upto[:-1]), np.where(empty, np.minimum(upto[1:] + 1, len(h)), upto[1:])
+    return (left[first] == left[end]) & (first < end)
+
+
+def _clean(min_sentences: int, min_words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _sliced(batches):
+            rows = []
+            for doc, text, theirs, own in zip(pdf["doc_id"], pdf["text"], pdf["theirs"], pdf["own"]):
+                tokens, ends, upto, h = cut(text)
+                gone = np.zeros(len(ends), bool)
+                if theirs is not None:
+                    gone = repeated(upto, h, np.asarray(theirs, np.int64), np.asarray(own, np.int64), min_sentences, min_words)
+                out = text if not gone.any() else "".join("".join(tokens[a:b]) for a, b, g in zip([0, *ends[:-1].tolist()], ends.tolist(), gone) if not g)
+                rows.append((doc, len(ends), int(gone.sum()), np.flatnonzero(gone).astype(np.int32), out))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_sentences", "n_removed", "removed", "clean_text"]).astype({"doc_id": "Int64"})
 
+    return run
 
-def _keyed(docs: DataFrame) -> DataFrame:
+
+def _keys() -> list:
+    """A document's order and, as null ids share theirs, a hash of the text that tells such rows apart."""
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(doc_id, F.lit(LAST_ID)).alias("_order"), F.xxhash64(doc_id.isNull(), doc_id, F.col("text").cast("string")).alias("_key"))
+    return [F.coalesce(doc_id, F.lit(LAST_ID)).alias("_order"), F.when(doc_id.isNull(), F.xxhash64(F.col("text").cast("string"))).otherwise(F.lit(0).cast("long")).alias("_part")]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *_keys())
 
 
 def covered(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_key, spans): for every row with a repeated run, the runs' places as first sentence * 2**32 + length."""
-    spans = _keyed(docs).mapInPandas(_spans(min_sentences, min_words), "_order long, _key long, at int, size int, hash long, again boolean")
-    spans = stored(spans, "spans")
-    repeated = spans.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("_order").alias("first")).filter("n > 1")
-    hits = spans.join(repeated, "hash").filter("again OR _order <> first")
-    place = F.shiftleft(F.col("at").cast("long"), 32) + F.col("size")
-    return hits.groupBy("_key").agg(F.collect_set(place).alias("spans"))
+    """(_order, _part, theirs, own): hashes of runs that an earlier document has, and of those that come again in the first one.
+
+    Each hash is dealt once with no more than its document; where its runs are, ``repeated`` finds again.
+    """
+    found = _keyed(docs).mapInPandas(_hashes(min_sentences, min_words), "hash long, _order long, _part long, again boolean")
+    hits = found.withColumn("_first", F.min("_order").over(Window.partitionBy("hash"))).filter("again OR _order <> _first")
+    mine = F.col("_order") == F.col("_first")
+    return hits.groupBy("_order", "_part").agg(F.collect_set(F.when(~mine, F.col("hash"))).alias("theirs"), F.collect_set(F.when(mine, F.col("hash"))).alias("own"))
 
 
-def clean_table(docs: DataFrame, **options) -> DataFrame:
+def clean_table(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, n_sentences, n_removed, removed (their numbers from 0), clean_text."""
-    out = _keyed(docs).join(stored(covered(docs, **options), "spans-covered"), "_key", "left")
-    return out.select("doc_id", "text", "spans").mapInPandas(_clean, "doc_id long, n_sentences int, n_removed int, removed array<int>, clean_text string")
+    out = _keyed(docs).join(stored(covered(docs, min_sentences, min_words), "spans-covered"), ["_order", "_part"], "left")
+    return out.select("doc_id", "text", "theirs", "own").mapInPandas(_clean(min_sentences, min_words), "doc_id long, n_sentences int, n_removed int, removed array<int>, clean_text string")
 
 
-def clean_documents(docs: DataFrame, **options) -> DataFrame:
+def clean_documents(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated sentences taken out of text (and n_chars, where there is one, counted again).
 
     Rows of which nothing but white space is left go; rows that had no text from the start stay.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    key = F.xxhash64(F.col("doc_id").cast("long").isNull(), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = stored(covered(docs, **options), "spans-covered").select(F.col("_key").alias("_row_key"), F.col("spans").alias("_row_spans"))
-    rows = docs.select(*docs.columns, key.alias("_row_key")).join(found, "_row_key", "left")
-    whole = rows.filter("_row_spans IS NULL").select(*docs.columns)
-    hit = rows.filter("_row_spans IS NOT NULL").select("doc_id", "text", F.col("_row_spans").alias("spans"), F.struct(*others).alias("_others"))
+    order, part = _keys()
+    found = stored(covered(docs, min_sentences, min_words), "spans-covered")
+    found = found.select(F.col("_order").alias("_row_order"), F.col("_part").alias("_row_part"), F.col("theirs").alias("_row_theirs"), F.col("own").alias("_row_own"))
+    rows = docs.select(*docs.columns, order.alias("_row_order"), part.alias("_row_part")).join(found, ["_row_order", "_row_part"], "left")
+    whole = rows.filter("_row_theirs IS NULL").select(*docs.columns)
+    hit = rows.filter("_row_theirs IS NOT NULL").select("doc_id", "text", F.col("_row_theirs").alias("theirs"), F.col("_row_own").alias("own"), F.struct(*others).alias("_others"))
+    clean = _clean(min_sentences, min_words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _sliced(batches):
-            done = pd.concat(_clean(iter([pdf])))
+            done = pd.concat(clean(iter([pdf])))
             out = pd.DataFrame({"doc_id": pdf["doc_id"], "text": done["clean_text"].to_numpy(), "_others": pdf["_others"]})
             yield out[[bool((t or "").strip()) for t in out["text"]]]
 
