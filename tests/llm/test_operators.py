@@ -163,6 +163,22 @@ def test_4_quality_counts_and_outliers(spark, docs, none, rows):
     assert quality_mcd.filter_documents(docs).columns == docs.columns
 
 
+def test_4_cut_is_a_quantile_of_the_group(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(3, 9))))
+    text = lambda marks: " ".join(word() + ("|" if k % 10 < 10 * marks else "") for k in range(120))
+    repeats = lambda share: "\n".join(rng.permutation([" ".join(word() for _ in range(5))] * (round(40 * share) + 1) + [" ".join(word() for _ in range(5)) for _ in range(39 - round(40 * share))]))
+    rows = [(i, text(0), "en", "a") for i in range(400)] + [(1000 + i, text(0.3 + 0.1 * (i % 3)), "en", "a") for i in range(15)]
+    lines = [(2000 + i, "\n".join(" ".join(word() for _ in range(5)) for _ in range(40)), "en", "b") for i in range(200)] + [(3000 + i, repeats(0.3), "en", "b") for i in range(5)]
+    out = {r["doc_id"]: r for r in quality_mcd.judge_documents(spark.createDataFrame(rows + lines, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert not any(r["kept"] for d, r in out.items() if 1000 <= d < 2000 or d >= 3000)
+    assert all(r["kept"] for d, r in out.items() if d < 1000 or 2000 <= d < 3000)
+    # One statistic varies: its square has the median and the upper tenth of chi-square with one degree of freedom.
+    d2 = [out[i]["distance2"] for i in range(400)]
+    assert 0.3 < np.median(d2) < 0.65 and 1.9 < np.quantile(d2, 0.9) < 3.7
+
+
 def components_of(rows, k, threshold):
     sets, parent = {}, {}
     for i, (d, t, *_) in enumerate(rows):

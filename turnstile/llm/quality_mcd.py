@@ -23,14 +23,18 @@ from .common import SPACE, stored, text_of, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: Natural-log units or roots of shares; the floor keeps an estimate regular where nearly all rows share a value.
-FLOORS = (0.05, 0.20, 0.20, 0.20)
+#: Natural-log units or roots of shares; the floor keeps an estimate regular where nearly all rows share a value. A
+#: statistic of less spread than its floor is not regular: the floor alone says how far from the others a row may be.
+FLOORS = (0.01, 0.05, 0.075, 0.10)
 DIM = len(FLOORS)
 #: Share of a group that an estimate rests on, concentration steps, squared distance that is too far (the 0.9999
 #: quantile of chi-square with DIM degrees of freedom), smallest group.
 COVER, STEPS, CUTOFF, MIN_GROUP = 0.75, 4, 23.513, 50
-#: Median of the chi-square distribution with DIM degrees of freedom.
-CHI2_MEDIAN = 3.3567
+#: Medians of the chi-square distributions with 1 to DIM degrees of freedom, one for each regular statistic of a group.
+#: CUTOFF is the stated quantile where all are regular, and a higher one where fewer are.
+CHI2_MEDIANS = (0.4549, 1.3863, 2.3660, 3.3567)
+#: A floor at most doubles a regular variance, so no scale is less; where it would be, half of the rows are ties.
+LEAST_SCALE = 0.5
 #: Distances are ranked by bins of a 32nd of a doubling, so that a rank is an exact count on any layout.
 BINS = 32
 
@@ -109,7 +113,9 @@ def _with_distance(df: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def _cholesky(state: DataFrame) -> DataFrame:
-    """``_m*`` and ``_c*`` (the lower half of a covariance) to ``_m*`` and ``_l*``."""
+    """``_m*`` and ``_c*`` (the lower half of a covariance) to ``_m*``, ``_l*`` and the number of regular statistics."""
+    regular = [F.when(F.col(f"_c{i}{i}") > FLOORS[i] ** 2, 1).otherwise(0) for i in range(DIM)]
+    state = state.withColumn("_dof", regular[0] + regular[1] + regular[2] + regular[3])
     for i in range(DIM):
         for j in range(i + 1):
             rest = F.col(f"_c{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
@@ -172,9 +178,13 @@ def judged(stats: DataFrame, lang: str = "lang", source: str = "source", cover:
         far = _with_distance(x, state)
         close = far.join(_cuts(far, {"_cut": cover}), "_group").filter(_bin(F.col("_d2")) <= F.col("_cut"))
         state = stored(_cholesky(_moments(close)), "quality-step")
-    # Distances are scaled so that their median is that of a normal sample; never shrunk below the floors.
+    # Distances are scaled so that their median is that of a normal sample in the regular statistics.
     far = _with_distance(x, state)
-    scale = _cuts(far, {"_half": 0.5}).select("_group", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("_half") + 0.5) / BINS) / CHI2_MEDIAN).alias("_scale"))
+    half = F.pow(F.lit(2.0), (F.col("_half") + 0.5) / BINS)
+    median = F.element_at(F.array(*[F.lit(m) for m in CHI2_MEDIANS]), F.greatest(F.col("_dof"), F.lit(1)))
+    scale = F.when(F.col("_dof") == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(LEAST_SCALE), half / median))
+    scale = _cuts(far, {"_half": 0.5}).join(state.select("_group", "_dof"), "_group").select("_group", scale.alias("_scale"))
+    state = state.drop("_dof")
     sizes = x.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
     state = stored(state.join(scale, "_group").join(sizes, "_group"), "quality-state")
     model = pools.join(state, "_group").withColumn("_scale2", F.col("_scale")).drop("_scale")
