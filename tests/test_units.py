@@ -95,3 +95,11 @@ def test_bans_of_one_jail_never_overlap(spark):
     for _, g in out.groupby("ip"):
         assert (g["banned_at"].to_numpy()[1:] >= g["expires_at"].to_numpy()[:-1]).all()
         assert (g["ban_time"].diff().dropna() >= 0).all()
+
+
+def test_line_hygiene_keeps_lines_up_to_65536_bytes(spark, tmp_path):
+    from turnstile.plans.queries import QUERIES
+
+    rows = [(n, "x" * n) for n in (4096, 4097, 65536, 65537)] + [(1, "é" * 32768), (2, "é" * 32768 + "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["seq"] for r in QUERIES["line_hygiene"](spark, str(tmp_path)).collect()} == {4096, 4097, 65536, 1}

@@ -92,7 +92,7 @@ def journal_filter(spark, sf):
 @query("SELECT doc_id AS seq, regexp_replace(text, '\\s+$', '') AS line FROM documents WHERE strlen(text) <= 4096")
 def line_hygiene(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("seq"), F.col("text").alias("line"))
-    return extract.clean_lines(docs, 4096)
+    return extract.clean_lines(docs)
 
 
 _SPARSE = "SELECT CAST(s_suppkey AS VARCHAR) AS jail, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 9 END AS max_retry, CASE WHEN s_suppkey % 3 = 0 THEN 60 * s_suppkey END AS find_time, CASE WHEN s_suppkey % 5 = 0 THEN 'udp' END AS protocol, CASE WHEN s_suppkey % 7 = 0 THEN false END AS enabled FROM supplier"
