@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, words_of
+from .common import stored, unpacked, whole_row, words_of
 
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2.0
 BITS, STEP = 60, 12
@@ -107,12 +107,13 @@ def mix_table(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
+    """The rows of docs, each as often as the mix takes it, with all their columns, whatever their names."""
     sized = stored(docs.select("source", size_of(F.col("text")).alias("size"), place(F.col("doc_id")).alias("_place")), "mix-sizes")
-    plan = shares(sized, **options).select(F.col("source").alias("_of"), F.col("_copies"), F.col("_limit"))
-    out = docs.join(plan, docs["source"].eqNullSafe(F.col("_of")))
-    times = F.col("_copies") + F.when(place(docs["doc_id"]) < F.col("_limit"), 1).otherwise(0)
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).drop("_copy")
+    plan = shares(sized, **options).select(F.col("source").alias("of"), F.col("_copies").alias("copies"), F.col("_limit").alias("limit"))
+    out = docs.select(F.col("source").alias("source"), place(F.col("doc_id")).alias("place"), whole_row(docs).alias("row")).join(plan, F.col("source").eqNullSafe(F.col("of")))
+    times = F.col("copies") + F.when(F.col("place") < F.col("limit"), 1).otherwise(0)
+    out = out.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("copy"))
+    return unpacked(out, "row", docs.columns)
 
 
 #: The same mix by a running sum over the hash order.

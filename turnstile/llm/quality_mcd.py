@@ -10,16 +10,21 @@ and sources are groups of their own. A group with fewer than ``min_group`` usabl
 with the other small groups of its language, and what is still too small with the rest; if the
 last pool is too small as well, its rows are kept. Repeated rows and ties count as rows of their
 own: rows at the same distance are in or out of an estimate together. Extra columns pass through
-``filter_documents`` untouched, whatever their names.
+``filter_documents`` untouched, whatever their names, as a row travels as one value.
+
+States, cuts and pools are one row a group and written first, so that Spark knows their size: rows never meet them in one task
+by a hot group, but by a broadcast where they are small, and else by a join whose large partitions it splits.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, stored, text_of, words_of
+from .common import SPACE, removed, stored, text_of, unpacked, whole_row, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -27,9 +32,11 @@ SYMBOLS = "#*$%&|<>"
 #: statistic of less spread than its floor is not regular: the floor alone says how far from the others a row may be.
 FLOORS = (0.01, 0.05, 0.075, 0.10)
 DIM = len(FLOORS)
-#: Share of a group that an estimate rests on, concentration steps, squared distance that is too far (the 0.9999
+#: Share of a group that an estimate rests on, concentration steps at most, squared distance that is too far (the 0.9999
 #: quantile of chi-square with DIM degrees of freedom), smallest group.
-COVER, STEPS, CUTOFF, MIN_GROUP = 0.75, 4, 23.513, 50
+COVER, STEPS, CUTOFF, MIN_GROUP = 0.75, 12, 23.513, 50
+#: Steps end where no group's determinant falls by more than this share of it.
+STILL = 1e-3
 #: Medians of the chi-square distributions with 1 to DIM degrees of freedom, one for each regular statistic of a group.
 #: CUTOFF is the stated quantile where all are regular, and a higher one where fewer are.
 CHI2_MEDIANS = (0.4549, 1.3863, 2.3660, 3.3567)
@@ -125,6 +132,14 @@ def _cholesky(state: DataFrame) -> DataFrame:
     return state.drop(*[f"_c{i}{j}" for i in range(DIM) for j in range(i + 1)])
 
 
+def _log_det() -> Column:
+    """Half the logarithm of a covariance's determinant, from its Cholesky factor."""
+    total = F.lit(0.0)
+    for i in range(DIM):
+        total = total + F.log(F.col(f"_l{i}{i}"))
+    return total
+
+
 def _bin(d2: Column) -> Column:
     return F.floor(F.log2(d2 + 2.0**-20) * BINS).cast("int")
 
@@ -176,18 +191,25 @@ def judged(stats: DataFrame, lang: str = "lang", source: str = "source", cover:
     # Concentration: the mean and covariance of the closest rows lower the determinant step by step.
     for _ in range(steps):
         far = _with_distance(x, state)
-        close = far.join(_cuts(far, {"_cut": cover}), "_group").filter(_bin(F.col("_d2")) <= F.col("_cut"))
-        state = stored(_cholesky(_moments(close)), "quality-step")
+        cut = stored(_cuts(far, {"_cut": cover}), "quality-cut")
+        close = far.join(cut, "_group").filter(_bin(F.col("_d2")) <= F.col("_cut"))
+        last, state = state, stored(_cholesky(_moments(close)), "quality-step")
+        falls = state.select("_group", _log_det().alias("_now")).join(last.select("_group", _log_det().alias("_was")), "_group").filter(F.col("_now") < F.col("_was") + math.log1p(-STILL))
+        done = falls.isEmpty()
+        removed(last, cut)
+        if done:
+            break
     # Distances are scaled so that their median is that of a normal sample in the regular statistics.
     far = _with_distance(x, state)
     half = F.pow(F.lit(2.0), (F.col("_half") + 0.5) / BINS)
     median = F.element_at(F.array(*[F.lit(m) for m in CHI2_MEDIANS]), F.greatest(F.col("_dof"), F.lit(1)))
     scale = F.when(F.col("_dof") == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(LEAST_SCALE), half / median))
-    scale = _cuts(far, {"_half": 0.5}).join(state.select("_group", "_dof"), "_group").select("_group", scale.alias("_scale"))
-    state = state.drop("_dof")
+    half_way = stored(_cuts(far, {"_half": 0.5}), "quality-half")
+    scale = half_way.join(state.select("_group", "_dof"), "_group").select("_group", scale.alias("_scale"))
     sizes = x.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
-    state = stored(state.join(scale, "_group").join(sizes, "_group"), "quality-state")
-    model = pools.join(state, "_group").withColumn("_scale2", F.col("_scale")).drop("_scale")
+    model = pools.join(state.drop("_dof").join(scale, "_group").join(sizes, "_group"), "_group")
+    model = stored(model.withColumn("_scale2", F.col("_scale")).drop("_scale"), "quality-model")
+    removed(half_way, state, x, pools)
     out = stats.withColumn("_own", F.when(~F.col("base_failed"), own)).join(model, "_own", "left")
     for i, c in enumerate(_vector()):
         out = out.withColumn(f"_x{i}", c)
@@ -209,13 +231,7 @@ def judge_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns.
-
-    A row is known by its id and a hash of its text, language and source, so repeated ids and nulls do no harm.
-    """
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text", F.col("lang").isNull(), "lang", F.col("source").isNull(), "source")
-    name = "_row_key"
-    keyed = docs.select("*", key.alias(name)) if name not in docs.columns else docs.drop(name).select("*", key.alias(name))
-    stats = stored(statistics(keyed.select("doc_id", "lang", "source", "text", name), ["lang", "source", name]), "quality-counts")
-    kept = judged(stats, **options).filter("kept").select(name).distinct()
-    return keyed.join(kept, name, "left_semi").drop(name)
+    """The rows of docs that the rules keep, with all their columns."""
+    rows = docs.select("lang", "source", "text", whole_row(docs).alias("row"))
+    stats = stored(statistics(rows, ["lang", "source", "row"]), "quality-counts")
+    return unpacked(judged(stats, **options).filter("kept"), "row", docs.columns)

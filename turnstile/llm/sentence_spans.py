@@ -10,7 +10,7 @@ it goes but WINDOW words at most at its start and WINDOW - 1 at its end.
 
 Cases: null and empty texts have no sentences and stay as they are; null ids come after all others. Rows that
 share an id count as one document: runs shared between them stay, unless another document had them first. Case and
-white space do not matter for equality. Extra columns stay in ``clean_documents``.
+white space do not matter for equality. Extra columns stay in ``clean_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import stored, unpacked, whole_row
 
 #: Pieces that a run touches and words that it has, at least; a piece ends in every so many words.
 MIN_SENTENCES, MIN_WORDS, WINDOW = 2, 20, 12
@@ -185,24 +187,28 @@ def clean_documents(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
 
     Rows of which nothing but white space is left go; rows that had no text from the start stay.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
     order, part = _keys()
     found = stored(covered(docs, min_sentences, min_words), "spans-covered")
-    found = found.select(F.col("_order").alias("_row_order"), F.col("_part").alias("_row_part"), F.col("theirs").alias("_row_theirs"), F.col("own").alias("_row_own"))
-    rows = docs.select(*docs.columns, order.alias("_row_order"), part.alias("_row_part")).join(found, ["_row_order", "_row_part"], "left")
-    whole = rows.filter("_row_theirs IS NULL").select(*docs.columns)
-    hit = rows.filter("_row_theirs IS NOT NULL").select("doc_id", "text", F.col("_row_theirs").alias("theirs"), F.col("_row_own").alias("own"), F.struct(*others).alias("_others"))
+    rows = docs.select(order, part, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole_row(docs).alias("row"))
+    rows = rows.hint("merge").join(found, ["_order", "_part"], "left")
+    whole = rows.filter("theirs IS NULL").select("row")
     clean = _clean(min_sentences, min_words)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _sliced(batches):
-            done = pd.concat(clean(iter([pdf])))
-            out = pd.DataFrame({"doc_id": pdf["doc_id"], "text": done["clean_text"].to_numpy(), "_others": pdf["_others"]})
-            yield out[[bool((t or "").strip()) for t in out["text"]]]
-
-    kinds = hit.schema
-    cleaned = hit.mapInPandas(run, f"doc_id {kinds['doc_id'].dataType.simpleString()}, text string, _others {kinds['_others'].dataType.simpleString()}")
-    cleaned = cleaned.select(*[F.col("_others")[c].alias(c) if c in others else F.col(c) for c in docs.columns])
-    if "n_chars" in others:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(cleaned)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                pdf = pa.table({c: some.column(c) for c in ("text", "theirs", "own")}).to_pandas().assign(doc_id=0)
+                text = pd.concat(clean(iter([pdf])))["clean_text"].tolist()
+                left = pa.array([bool((t or "").strip()) for t in text])
+                yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()).filter(left), some.column("row").filter(left)], names=["clean", "row"])
+
+    # A row's other columns go along as they are; its old text does not.
+    name = {c.lower(): c for c in docs.columns}
+    hit = rows.filter("theirs IS NOT NULL").select("text", "theirs", "own", F.col("row").dropFields(name["text"]).alias("row"))
+    cleaned = hit.mapInArrow(run, T.StructType([T.StructField("clean", T.StringType()), hit.schema["row"]]))
+    fresh_values = {name["text"]: F.col("clean").cast(docs.schema[name["text"]].dataType)}
+    if "n_chars" in name:
+        fresh_values[name["n_chars"]] = F.length("clean").cast(docs.schema[name["n_chars"]].dataType)
+    cleaned = cleaned.select(*[fresh_values.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return unpacked(whole, "row", docs.columns).unionByName(cleaned)
