@@ -8,12 +8,14 @@ A file is a table of segments, ordered by doc_id over its parts; a segment holds
 and one code. Documents end with an end id. The text is dealt by ranges of doc_id, encoded, and written by Spark.
 
 Cases: null and empty texts have the end id only; a null id comes first; rows that share an id are ordered by a hash of
-their text. A document longer than a segment has one of its own. Extra columns are not read.
+their text. A document longer than a segment has one of its own. Extra columns are not read. Any vocabulary file of the
+tokenizers library is taken; where its rules are not those that ids by word rest on, whole texts are encoded.
 """
 
 from __future__ import annotations
 
 import array
+import json
 import re
 import struct
 import uuid
@@ -31,8 +33,10 @@ from pyspark.sql.window import Window
 
 from .common import partitions, scratch
 
-#: Ids of a segment; bits of a rank block; words that a task remembers.
-SEGMENT, BLOCK, MEMORY = 1 << 18, 512, 1_000_000
+#: Ids of a segment; bits of a rank block.
+SEGMENT, BLOCK = 1 << 18, 512
+#: Bytes that a task's remembered words may take, and those that a word takes besides its own.
+MEMORY, EACH = 192 << 20, 160
 HEAD = struct.Struct("<4sII")
 LEVEL = struct.Struct("<II")
 
@@ -106,15 +110,35 @@ class Numbers(dict):
         return n
 
 
+# The rules of a vocabulary whose texts may be encoded word by word.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a vocabulary always splits at white space, and between a letter and what is none, and lowers A-Z."""
+    split, letters = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}])[:2]
+    model = spec["model"]
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+        and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": SPLIT}, "Removed", True)
+        and (letters.get("type"), letters.get("add_prefix_space"), letters.get("use_regex")) == ("ByteLevel", False, False)
+        and model["type"] == "BPE" and not model.get("dropout") and not spec.get("truncation") and not spec.get("padding")
+        and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    )
+
+
 class WordIds:
     """Ids of white-space separated words; each word is encoded once while it is remembered.
 
     The vocabulary's pre-tokeniser always splits at white space, and between a letter and what is none, so a text's ids are
     its words' ids in a row, with a last comma or full stop behind a letter as a word of its own. It also lowers A-Z, which
-    is done before, except in texts that might hold a special token.
+    is done before, except in texts that might hold a special token. A word of plain lower-case letters is one piece that
+    its rules leave as it is: it goes to the model at once. Vocabularies with other rules encode whole texts.
     """
 
     TAIL = re.compile(rb"(?<=[a-z])(?=[.,](?:[\x09-\x0d ]|\Z))")
+    PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
     def words(self, text: str) -> list[bytes]:
         data = text.encode()
@@ -123,27 +147,46 @@ class WordIds:
         return data.split()
 
     def __init__(self, model: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(model)
+        self.model = self.tokenizer.model
+        self.by_words = by_words(json.loads(self.tokenizer.to_str()))
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.forget()
 
     def forget(self) -> None:
-        self.code = Numbers()
+        self.code, self.held = Numbers(), 0
         self.flat, self.starts, self.sizes = array.array("I"), array.array("q"), array.array("q")
 
+    def learn(self) -> None:
+        """Encodes the words that are new."""
+        new = [w.decode() for w in self.code.new]
+        plain = [self.PLAIN.fullmatch(w) is not None for w in new]
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(new, plain) if not p], add_special_tokens=False))
+        for w, p in zip(new, plain):
+            ids = [t.id for t in self.model.tokenize(w if w.isascii() else w.translate(self.letters))] if p else next(rest).ids
+            self.starts.append(len(self.flat))
+            self.sizes.append(len(ids))
+            self.flat.extend(ids)
+        self.held += sum(map(len, self.code.new)) + EACH * len(new)
+        self.code.new = []
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(f) for f in found], np.int64)
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and their number in each text."""
-        if len(self.code) > MEMORY:
+        if not self.by_words:
+            return self.whole(texts)
+        if self.held > MEMORY:
             self.forget()
         words = [self.words(t) for t in texts]
         codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(words)), np.int64)
         if self.code.new:
-            for e in self.tokenizer.encode_batch_fast([w.decode() for w in self.code.new], add_special_tokens=False):
-                self.starts.append(len(self.flat))
-                self.sizes.append(len(e.ids))
-                self.flat.extend(e.ids)
-            self.code.new = []
+            self.learn()
         if not len(codes):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         # Views of the arrays; they end with this call, before the arrays grow again.
