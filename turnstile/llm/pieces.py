@@ -14,14 +14,16 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a result at a time.
-ROWS = 256
+#: Rows, and bytes of text unless a text has more, that are encoded at a time.
+ROWS, BYTES = 256, 4 << 20
 MARK = "▁".encode()
 
 
@@ -38,6 +40,11 @@ class Normalizer:
             first = [c for c in range(256) if self._child(0, c) is not None]
             self.starts = re.compile(b"[" + b"".join(re.escape(bytes([c])) for c in first) + b"]", re.S) if first else None
 
+    @property
+    def plain(self) -> bool:
+        """Whether nothing but spaces changes: no map, and no spaces taken out."""
+        return not self.units and not self.squeeze
+
     def _offset(self, unit: int) -> int:
         return (unit >> 10) << ((unit & 512) >> 6)
 
@@ -121,6 +128,44 @@ class Encoder:
             raise ValueError(f"pieces cover {upto[-1]} of {len(begin)} normalised bytes")
         return begin[upto - lengths], end[upto - 1]
 
+    def spans_of(self, texts: list[bytes], ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """spans for many texts in a row; ids holds those of all texts, counts how many each has.
+
+        With a plain normaliser every source byte becomes one byte, or a mark, so that places follow from one running sum.
+        """
+        rule = self.normalize
+        if not rule.plain or (ids == self.unknown).any():
+            each = [self.spans(t.decode(), i) for t, i in zip(texts, np.split(ids, np.cumsum(counts)[:-1]))]
+            return np.concatenate([b for b, _ in each]), np.concatenate([e for _, e in each])
+        lead = int(rule.dummy_prefix)
+        sizes = np.array([len(t) + lead * (len(t) > 0) for t in texts], np.int64)
+        raw = np.frombuffer(b"".join(b" " * lead + t if t else t for t in texts), np.uint8)
+        # Normalised bytes up to and with each source byte, the leading space among them.
+        made = np.cumsum(np.where(raw == 32, len(MARK) if rule.escape else 1, 1))
+        upto = np.cumsum(self.lengths[ids])
+        if len(upto) and upto[-1] != made[-1]:
+            raise ValueError(f"pieces cover {upto[-1]} of {made[-1]} normalised bytes")
+        # Each text's first source byte among all, less the leading space, which stands at place 0 of its text and is empty.
+        first = np.repeat(np.cumsum(sizes) - sizes + lead, counts)
+        begin = np.searchsorted(made, upto - self.lengths[ids], "right") - first
+        end = np.searchsorted(made, upto, "left") + 1 - first
+        return np.maximum(begin, 0), np.maximum(end, 0)
+
+    def __call__(self, texts: list[str], end_id: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Ids, first bytes and ends of all texts in a row, how many each text has, and the decoded texts."""
+        found = self.sp.encode(texts, num_threads=1)
+        counts = np.array([len(f) for f in found], np.int64)
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
+        data = [t.encode() for t in texts]
+        begin, end = self.spans_of(data, ids, counts)
+        if end_id:
+            for f in found:
+                f.append(self.sp.eos_id())
+            behind, sizes = np.cumsum(counts), np.array([len(d) for d in data], np.int64)
+            ids, begin, end = np.insert(ids, behind, self.sp.eos_id()), np.insert(begin, behind, sizes), np.insert(end, behind, sizes)
+            counts = counts + 1
+        return ids, begin, end, counts, self.sp.decode(found, num_threads=1)
+
 
 @lru_cache(maxsize=2)
 def encoder(model: str) -> Encoder:
@@ -130,30 +175,34 @@ def encoder(model: str) -> Encoder:
 SCHEMA = "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string"
 
 
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of up to ROWS rows and about BYTES bytes."""
+    at, n = 0, len(sizes)
+    upto = np.cumsum(sizes)
+    while at < n:
+        before = upto[at] - sizes[at]
+        to = min(n, at + ROWS, max(at + 1, int(np.searchsorted(upto, before + BYTES, "right"))))
+        yield at, to
+        at = to
+
+
 def _encode(model: str, end_id: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
-        for whole in batches:
-            for at in range(0, len(whole), ROWS):
-                pdf = whole.iloc[at : at + ROWS]
-                rows = []
-                for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                    text = text or ""
-                    ids = np.array(enc.sp.encode(text), dtype=np.int32)
-                    begin, end = enc.spans(text, ids)
-                    if end_id:
-                        n = len(text.encode())
-                        ids = np.append(ids, np.int32(enc.sp.eos_id()))
-                        begin, end = np.append(begin, n), np.append(end, n)
-                    rows.append((doc, ids, begin.astype(np.int32), end.astype(np.int32), enc.sp.decode(ids.tolist())))
-                yield pd.DataFrame(rows, columns=["doc_id", "ids", "begins", "ends", "decoded"]).astype({"doc_id": "Int64"})
+        for batch in batches:
+            doc, text = batch.column(0), batch.column(1)
+            for at, to in _slices(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)):
+                ids, begin, end, counts, decoded = enc([t or "" for t in text.slice(at, to - at).to_pylist()], end_id)
+                bounds = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (ids, begin, end)]
+                yield pa.RecordBatch.from_arrays([doc.slice(at, to - at), *lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "begins", "ends", "decoded"])
 
     return run
 
 
 def encode_documents(docs: DataFrame, model: str, end_id: bool = True) -> DataFrame:
     """doc_id, ids, begins and ends (byte spans of the original text), decoded: one row per row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(_encode(model, end_id), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(model, end_id), SCHEMA)
 
 
 def digest(encoded: DataFrame) -> DataFrame:
@@ -163,4 +212,5 @@ def digest(encoded: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("covered_bytes"),
+        F.xxhash64("begins", "ends").alias("spans_hash"),
     )
