@@ -5,15 +5,17 @@ as a leading-zero count and MANTISSA further bits. Bands of four registers name
 Pairs that meet are estimated from all registers, corrected for registers that agree by chance, and what is not clearly
 too far apart is confirmed on the full sets. Classes are the connected components of the confirmed links.
 
-No bucket is expanded into all of its pairs: equal sets count once, every member first meets the bucket's smallest
-document, and only a bucket that still holds several components goes on. A small one then compares members of different
-components. Large ones have an exact way of their own, a prefix join: two sets can only be as similar as the threshold if
-they share one of the first n - ceil(threshold * n) + 1 of their shingles in a common order, here from the rarest to the
-most frequent one. Copies that were changed too much to be links have rare shingles of their own there and meet nobody.
+Equal sets count once. No place is expanded into all of its pairs, however many or few meet there: each member is held
+against the place's first one; of a place whose other members are then still in several components, these go through a prefix
+join, which is exact. Two sets can only be as similar as the threshold if the smaller one's first n - ceil(2t / (1 + t) * n) + 1
+shingles and the larger one's first n - ceil(t * n) + 1 share one, in a common order from the rarest to the most
+frequent. So rows are cut by their places in that order before they meet, and copies that were changed too much to be links have
+rare shingles of their own there and meet nobody.
 
 Cases: null or empty texts, and texts without a word, have no shingles, link with nothing and are kept; a text with fewer
 words than a shingle is one shingle. A null id links with nothing, has a null component and is kept. Rows that share
-an id share a component. Equal texts always share one. Columns other than doc_id and text play no part.
+an id share a component, whatever their texts. Equal texts always share one. Columns other than doc_id and text play no part,
+whatever their names; equal rows count as one in ``dedup_documents``, rows of one id that differ are all kept or all gone.
 """
 
 from __future__ import annotations
@@ -23,16 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import fresh, removed, stored
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
-#: A bucket of up to SMALL documents compares members of different components in full; larger ones go by prefixes.
-SMALL = 16
+#: Rows that a task works on at a time.
+SLICE = 256
 #: Standard deviations below the threshold at which an estimate still goes on to the full sets.
 MARGIN = 6.0
 MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -86,46 +88,66 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(regs: np.ndarray) -> np.ndarray:
-    value = np.ascontiguousarray(regs).view(np.uint64)
-    return mixed(value ^ mixed(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
+def bands(regs: str) -> Column:
+    """A key for each band of ROWS registers (ROWS * 2 bytes)."""
+    return F.array(*[F.xxhash64(F.lit(i), F.substring(regs, 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
+
+
+def _sliced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for at in range(0, len(pdf), SLICE):
+            yield pdf.iloc[at : at + SLICE]
 
 
 def _signatures(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _sliced(batches):
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for text in pdf["text"]:
                 s = shingles(text, k)
-                if len(s):
-                    r = registers(s)
-                    rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), r.tobytes(), bands(r)))
-                else:
-                    rows.append((doc, 0, None, None, None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "regs", "bands"]).astype({"doc_id": "Int64"})
+                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes()) if len(s) else (0, None, None))
+            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "regs"])
+            yield out.assign(doc_id=pdf["doc_id"].astype("Int64").array, spot=pdf["spot"].array)[["doc_id", "spot", "n_shingles", "digest", "regs"]]
 
     return run
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a hash of the text that tells rows of one id apart."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ids.mapInPandas(_signatures(k), "doc_id long, n_shingles long, digest binary, regs binary, bands array<long>")
+    return ids.withColumn("spot", F.xxhash64("text"))
+
+
+def signatures(docs: DataFrame, k: int) -> DataFrame:
+    """One row per row of docs, with a number of its own (node)."""
+    out = keyed(docs).mapInPandas(_signatures(k), "doc_id long, spot long, n_shingles long, digest binary, regs binary")
+    return out.withColumn("node", F.monotonically_increasing_id())
 
 
-#: How often registers of different minima agree: their zero counts do in about 0.36 of cases, then each further bit in half.
-CHANCE = 0.36 * 2.0**-MANTISSA
+def chance(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """How often registers of two sets agree though their minima differ.
+
+    A bucket of b values has its minimum in the cell [x, x + w) with probability (1 - x)^b - (1 - x - w)^b; for two sets
+    that is summed over cells. Cells halve in groups of 2^MANTISSA, so a group is an integral over its cells' width.
+    """
+    ba, bb = np.maximum(na / REGISTERS, 1.0), np.maximum(nb / REGISTERS, 1.0)
+    total = np.zeros(len(ba))
+    for zeros in range(24):
+        lo, hi = 2.0 ** -(zeros + 1), 2.0**-zeros
+        # Densities b (1 - x)^(b - 1) at both sets, integrated over the group by Simpson's rule, times the cell's width.
+        at = [(1 - x) ** (ba + bb - 2) for x in (lo, (lo + hi) / 2, min(hi, 1 - 1e-12))]
+        total += ba * bb * (hi - lo) / 6 * (at[0] + 4 * at[1] + at[2]) * (hi - lo) / 2**MANTISSA
+    return np.minimum(total, 0.5)
 
 
 def _estimate(threshold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in _sliced(batches):
             a = np.frombuffer(b"".join(pdf["regs_a"]), np.uint16).reshape(-1, REGISTERS)
             b = np.frombuffer(b"".join(pdf["regs_b"]), np.uint16).reshape(-1, REGISTERS)
-            agree = (a == b).mean(1)
-            estimate = (agree - CHANCE) / (1 - CHANCE)
             na, nb = pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy()
+            by_chance = chance(na, nb)
+            estimate = ((a == b).mean(1) - by_chance) / (1 - by_chance)
             t = threshold / 100
             # A short set fills few buckets of its own, and the others repeat those.
             sd = np.sqrt(t * (1 - t) / np.minimum(REGISTERS, np.minimum(na, nb)))
@@ -138,7 +160,7 @@ def _estimate(threshold: int):
 def _confirm(k: int, threshold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, of_last = None, None
-        for pdf in batches:
+        for pdf in _sliced(batches):
             keep = []
             for a, ta, tb in zip(pdf["a"], pdf["text_a"], pdf["text_b"]):
                 if a != last:
@@ -154,7 +176,8 @@ def _confirm(k: int, threshold: int):
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): the smallest node that can be reached.
 
-    Large-star and small-star steps in turn, until the edges point from each node to its component.
+    Large-star and small-star steps in turn, until the edges point from each node to its component. A step's table goes when
+    the next one is written.
     """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "near-edges")
     mark = None
@@ -167,62 +190,81 @@ def components(edges: DataFrame) -> DataFrame:
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(lows.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = stored(small, "near-small")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == now:
+        now = stored(small, "near-small")
+        removed(edges, large)
+        edges = now
+        seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == seen:
             break
-        mark = now
+        mark = seen
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _links(pairs: DataFrame, sig: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) that are links: estimated, then confirmed on the full sets."""
-    regs = lambda x: sig.select(F.col("doc_id").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    close = pairs.distinct().join(regs("a"), "a").join(regs("b"), "b").mapInPandas(_estimate(threshold), "a long, b long")
-    close = stored(close, "near-close")
-    nodes = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    texts = docs.join(nodes, "doc_id", "left_semi")
-    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    full = close.join(text("b"), "b").join(text("a"), "a")
-    return stored(full.select("a", "b", "text_a", "text_b").mapInPandas(_confirm(k, threshold), "a long, b long"), "near-links")
+def _texts_of(nodes: DataFrame, lead: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of some nodes, stored. How many there are has no bound that is known before, so they are never broadcast."""
+    wanted = lead.join(nodes, "node", "left_semi").select("node", "doc_id", "spot")
+    found = keyed(docs).hint("merge").join(wanted, ["doc_id", "spot"])
+    return stored(found.groupBy("doc_id", "spot").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"), "near-texts")
+
+
+def _links(pairs: DataFrame, lead: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """The pairs of nodes (a, b) that are links: estimated, then confirmed on the full sets."""
+    regs = lambda x: lead.select(F.col("node").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    close = stored(pairs.join(regs("a"), "a").join(regs("b"), "b").mapInPandas(_estimate(threshold), "a long, b long"), "near-close")
+    text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    full = close.hint("merge").join(text("b"), "b").hint("merge").join(text("a"), "a")
+    out = stored(full.select("a", "b", "text_a", "text_b").mapInPandas(_confirm(k, threshold), "a long, b long"), "near-links")
+    removed(close)
+    return out
 
 
 def _shingle_rows(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                some = pdf.iloc[at : at + 256]
-                sets = [shingles(t, k).view(np.int64) for t in some["text"]]
-                if sets:
-                    yield pd.DataFrame({"doc_id": np.repeat(some["doc_id"].to_numpy(), [len(x) for x in sets]), "shingle": np.concatenate(sets)})
+        for pdf in _sliced(batches):
+            sets = [shingles(t, k).view(np.int64) for t in pdf["text"]]
+            if sets:
+                yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), [len(x) for x in sets]), "shingle": np.concatenate(sets)})
 
     return run
 
 
-def _by_prefix(large: DataFrame, sig: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components in large buckets that share a shingle of their prefixes; exact.
+def _by_prefix(here: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components among the members (key, node, component) of places; exact.
 
-    One side is of the documents outside their bucket's largest component, as each such pair has one.
+    One side is of the nodes outside their place's largest component, as each such pair has one.
     """
-    members = stored(large.groupBy("doc_id").agg(F.min("component").alias("component")), "near-large-members")
-    counts = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    most = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
-    rest = stored(large.join(most, "key").filter("component <> most").select("doc_id").distinct(), "near-large-rest")
-    rows = docs.join(members, "doc_id", "left_semi").mapInPandas(_shingle_rows(k), "doc_id long, shingle long")
-    rows = stored(rows.distinct(), "near-large-shingles")
+    members = stored(here.select("node", "component").distinct(), "near-members")
+    counts = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    most = stored(counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most")), "near-most")
+    rest = stored(here.join(most, "key").filter("component <> most").select("node").distinct(), "near-rest")
+    rows = stored(texts.join(members.select("node"), "node", "left_semi").mapInPandas(_shingle_rows(k), "node long, shingle long"), "near-shingles")
     # The order: rarest first; a shingle of one document only can't be shared, but counts in its prefix.
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    by = Window.partitionBy("doc_id")
-    prefix = rows.join(often, "shingle").withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_at", F.row_number().over(by.orderBy("df", "shingle")))
-    prefix = prefix.filter((F.col("df") > 1) & (F.col("_at") <= F.col("_n") - F.ceil(F.col("_n") * threshold / 100) + 1))
-    prefix = stored(prefix.join(members, "doc_id").select("doc_id", "shingle", "component", "_n", "_at"), "near-prefixes")
-    x, y = prefix.join(rest, "doc_id", "left_semi").alias("x"), prefix.alias("y")
-    alike = (100 * F.col("x._n") >= threshold * F.col("y._n")) & (100 * F.col("y._n") >= threshold * F.col("x._n"))
-    # What two sets share is the shingle they meet at and what follows it, if it is their first; a later one says less.
-    shared = 1 + F.least(F.col("x._n") - F.col("x._at"), F.col("y._n") - F.col("y._at"))
-    enough = shared * (100 + threshold) >= threshold * (F.col("x._n") + F.col("y._n"))
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & alike & enough)
-    return met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    often = stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-often")
+    by = Window.partitionBy("node")
+    n, at = F.col("n"), F.col("at")
+    placed = rows.join(often, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    placed = placed.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("at", F.row_number().over(by.orderBy("df", "shingle")))
+    # ceil(t * n) and ceil(2 t / (1 + t) * n), in whole numbers.
+    least, alone = F.expr(f"({threshold} * n + 99) div 100"), F.expr(f"({2 * threshold} * n + {99 + threshold}) div {100 + threshold}")
+    placed = placed.filter((F.col("df") > 1) & (at <= n - least + 1)).withColumn("short", at <= n - alone + 1)
+    placed = placed.join(members, "node").join(rest.withColumn("odd", F.lit(True)), "node", "left")
+    placed = stored(placed.select("node", "shingle", "component", "n", "at", "short", F.coalesce("odd", F.lit(False)).alias("odd")), "near-prefixes")
+    met = None
+    for odd_side in ("x", "y"):
+        # x: the larger set with its long prefix; y: the smaller one with its short prefix.
+        x, y = placed, placed.filter("short")
+        x, y = (x.filter("odd"), y) if odd_side == "x" else (x, y.filter("odd"))
+        x, y = x.alias("x"), y.alias("y")
+        alike = (F.col("y.n") <= F.col("x.n")) & (100 * F.col("y.n") >= threshold * F.col("x.n"))
+        # What two sets share is the shingle they meet at and what follows it, if it is their first; a later one says less.
+        shared = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+        enough = shared * (100 + threshold) >= threshold * (F.col("x.n") + F.col("y.n"))
+        pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & alike & enough)
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        met = pairs if met is None else met.union(pairs)
+    out = stored(met.distinct(), "near-met")
+    removed(members, most, rest, rows, often, placed)
+    return out
 
 
 def near_table(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
@@ -232,45 +274,44 @@ def near_table(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
     """
     sig = stored(signatures(docs, shingle), "near-signatures")
     known = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    # One representative of equal sets takes part; of rows that share an id, all do.
-    lead = stored(known.join(reps, "digest").filter("doc_id = rep").dropDuplicates(["doc_id", "digest"]).select("doc_id", "n_shingles", "regs", "bands"), "near-leads")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    places = lead.select("doc_id", F.explode("bands").alias("key"))
-    equal = known.join(reps, "digest").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    sizes = places.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("n > 1 AND low <> high")
-    sizes = stored(sizes, "near-buckets")
-    pairs = sizes.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    many = stored(places.join(sizes.filter("n > 2"), "key").select("key", "doc_id", "n", "low"), "near-places")
-    stars = stored(pairs.union(many.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))).distinct(), "near-pairs")
-    # The texts of all documents that share a bucket, dealt once for all that follows.
-    met = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    texts = stored(texts.join(met, "doc_id", "left_semi"), "near-texts")
-    links = _links(stars, lead, texts, shingle, threshold)
-    # Buckets that still hold several components.
-    at = components(equal.union(links))
-    here = many.join(at, many["doc_id"] == at["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    several = here.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("key")
-    here = stored(here.join(several, "key", "left_semi"), "near-mixed")
-    small = here.filter(F.col("n") <= SMALL)
-    x, y = small.alias("x"), small.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")))
-    cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    large = here.filter(F.col("n") > SMALL)
-    more = cross.union(_by_prefix(large, lead, texts, shingle, threshold)).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.union(_links(stored(more, "near-cross"), lead, texts, shingle, threshold))
-    at = stored(components(equal.union(links)), "near-components")
-    out = sig.join(at, sig["doc_id"] == at["node"], "left")
+    # A node stands for all rows with its set; rep is the smallest id that has it.
+    sets = stored(known.groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"), F.max("doc_id").alias("high")), "near-sets")
+    lead = stored(known.join(sets.select("node", "rep"), "node").select("node", "rep", "doc_id", "spot", "n_shingles", "regs"), "near-leads")
+    equal = known.join(sets.filter("rep <> high").select("digest", "rep"), "digest").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    places = lead.select("node", F.explode(bands("regs")).alias("key"))
+    low = stored(places.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).filter("n > 1").select("key", "low"), "near-places")
+    # All members of a place but its first one.
+    many = stored(places.join(low, "key").filter("node <> low"), "near-places")
+    pairs = stored(many.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    # The texts of all that share a place, dealt once for all that follows.
+    texts = _texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), lead, docs)
+    links = _links(pairs, lead, texts, shingle, threshold)
+    at = stored(components(links), "near-nodes")
+    here = stored(many.join(at, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "near-here")
+    several = stored(here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "near-several")
+    mixed_ = stored(here.join(several, "key", "left_semi"), "near-mixed")
+    removed(low, many, pairs, here, several)
+    more = _by_prefix(mixed_, texts, shingle, threshold)
+    links = links.union(_links(more, lead, texts, shingle, threshold))
+    rep = lambda x: lead.select(F.col("node").alias(x), F.col("rep").alias(f"rep_{x}"))
+    links = links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    found = stored(components(equal.union(links)), "near-components")
+    removed(sets, lead, at, mixed_, texts, more)
+    out = sig.join(found, sig["doc_id"] == found["node"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def dedup_documents(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of docs that stand first in their component, with all columns; of rows that share an id, one stays."""
-    gone = near_table(docs, shingle, threshold).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    some = left.filter("doc_id IS NOT NULL")
-    shown = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
-    again = some.join(shown, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    once = left.join(shown.select(F.col("doc_id").alias("_twice")), F.col("doc_id") == F.col("_twice"), "left_anti")
-    return once.unionByName(again.select(*once.columns))
+    """The rows of docs that stand first in their component, with all columns; of equal rows, one stays."""
+    table = near_table(docs, shingle, threshold)
+    gone, once = fresh(docs, "gone", "once")
+    own = docs["doc_id"].cast("long")
+    # Neither side has a bound, so rows meet by a shuffle at any size.
+    out = stored(table.filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct(), "near-gone")
+    left = docs.hint("merge").join(out, own == F.col(gone), "left_anti")
+    # Ids that several rows share, if there are any; only their rows are compared whole.
+    ids = stored(table.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(once)), "near-again")
+    if ids.isEmpty():
+        return left
+    return left.join(ids, own == F.col(once), "left_anti").unionByName(left.join(ids, own == F.col(once), "left_semi").dropDuplicates())
