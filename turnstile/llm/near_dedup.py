@@ -7,7 +7,7 @@ too far apart is confirmed on the full sets. Classes are the connected component
 
 Equal sets count once. No place is expanded into all of its pairs, however many or few meet there: each member is held
 against the place's first one; of a place whose other members are then still in several components, these go through a prefix
-join, which is exact. Two sets can only be as similar as the threshold if the smaller one's first n - ceil(2t / (1 + t) * n) + 1
+join, which is exact, with rounds of the same kind ahead of it. Two sets can only be as similar as the threshold if the smaller one's first n - ceil(2t / (1 + t) * n) + 1
 shingles and the larger one's first n - ceil(t * n) + 1 share one, in a common order from the rarest to the most
 frequent. So rows are cut by their places in that order before they meet, and copies that were changed too much to be links have
 rare shingles of their own there and meet nobody.
@@ -33,6 +33,8 @@ from .common import fresh, removed, stored
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
+#: Rounds, at most, in which members are held against one of them; they end where less than one try in FRUITFUL is a link.
+ROUNDS, FRUITFUL = 4, 10
 #: Rows that a task works on at a time.
 SLICE = 256
 #: Standard deviations below the threshold at which an estimate still goes on to the full sets.
@@ -228,16 +230,9 @@ def _shingle_rows(k: int):
     return run
 
 
-def _by_prefix(here: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components among the members (key, node, component) of places; exact.
-
-    One side is of the nodes outside their place's largest component, as each such pair has one.
-    """
-    members = stored(here.select("node", "component").distinct(), "near-members")
-    counts = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    most = stored(counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most")), "near-most")
-    rest = stored(here.join(most, "key").filter("component <> most").select("node").distinct(), "near-rest")
-    rows = stored(texts.join(members.select("node"), "node", "left_semi").mapInPandas(_shingle_rows(k), "node long, shingle long"), "near-shingles")
+def _prefixes(texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """(node, shingle, n, at, short), stored: the shared shingles of each prefix; short: it is in the short one too."""
+    rows = stored(texts.mapInPandas(_shingle_rows(k), "node long, shingle long"), "near-shingles")
     # The order: rarest first; a shingle of one document only can't be shared, but counts in its prefix.
     often = stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-often")
     by = Window.partitionBy("node")
@@ -246,13 +241,55 @@ def _by_prefix(here: DataFrame, texts: DataFrame, k: int, threshold: int) -> Dat
     placed = placed.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("at", F.row_number().over(by.orderBy("df", "shingle")))
     # ceil(t * n) and ceil(2 t / (1 + t) * n), in whole numbers.
     least, alone = F.expr(f"({threshold} * n + 99) div 100"), F.expr(f"({2 * threshold} * n + {99 + threshold}) div {100 + threshold}")
-    placed = placed.filter((F.col("df") > 1) & (at <= n - least + 1)).withColumn("short", at <= n - alone + 1)
-    placed = placed.join(members, "node").join(rest.withColumn("odd", F.lit(True)), "node", "left")
-    placed = stored(placed.select("node", "shingle", "component", "n", "at", "short", F.coalesce("odd", F.lit(False)).alias("odd")), "near-prefixes")
+    placed = placed.filter((F.col("df") > 1) & (at <= n - least + 1)).select("node", "shingle", "n", "at", (at <= n - alone + 1).alias("short"))
+    out = stored(placed, "near-prefixes")
+    removed(rows, often)
+    return out
+
+
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, component) after links (a, b), stored."""
+    of = lambda x: comp.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    to = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    to = to.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return stored(comp.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "near-members")
+
+
+def _by_prefix(here: DataFrame, lead: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
+    """All further links (a, b) that bring together components among the members (key, node, component) of places; exact.
+
+    First, in rounds, the members of each shingle of a prefix are held against one of them, which brings most components
+    together in linear work. What is then left apart is joined in full; one side of that join is of the nodes outside their place's
+    largest component, as each pair of different components has one.
+    """
+    comp = stored(here.select("node", "component").distinct(), "near-members")
+    own = stored(texts.join(comp.select("node"), "node", "left_semi"), "near-texts")
+    placed = _prefixes(own, k, threshold)
+    links = None
+    for turn in range(ROUNDS):
+        live = placed.select("node", "shingle", "n").join(comp, "node")
+        pivot = F.max_by(F.struct("node", "component", "n"), F.xxhash64("node", "shingle", F.lit(turn))).alias("p")
+        groups = stored(live.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot).filter("lo <> hi").select("shingle", "p"), "near-pivots")
+        alike = (100 * F.col("p.n") >= threshold * F.col("n")) & (100 * F.col("n") >= threshold * F.col("p.n"))
+        tried = live.join(groups, "shingle").filter((F.col("component") != F.col("p.component")) & alike)
+        tried = stored(tried.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "near-tried")
+        found = _links(tried, lead, own, k, threshold)
+        n_found, n_tried = found.count(), tried.count()
+        removed(groups, tried)
+        links = found if links is None else links.union(found)
+        if n_found:
+            comp = _merged(comp, found)
+        if n_found * FRUITFUL < n_tried or not n_tried:
+            break
+    here = stored(here.select("key", "node").join(comp, "node"), "near-here")
+    counts = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    most = stored(counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most")), "near-most")
+    rest = stored(here.join(most, "key").filter("component <> most").select("node").distinct(), "near-rest")
+    full = stored(placed.join(comp, "node").join(rest.withColumn("odd", F.lit(True)), "node", "left").withColumn("odd", F.coalesce("odd", F.lit(False))), "near-prefixes")
     met = None
     for odd_side in ("x", "y"):
         # x: the larger set with its long prefix; y: the smaller one with its short prefix.
-        x, y = placed, placed.filter("short")
+        x, y = full, full.filter("short")
         x, y = (x.filter("odd"), y) if odd_side == "x" else (x, y.filter("odd"))
         x, y = x.alias("x"), y.alias("y")
         alike = (F.col("y.n") <= F.col("x.n")) & (100 * F.col("y.n") >= threshold * F.col("x.n"))
@@ -262,8 +299,9 @@ def _by_prefix(here: DataFrame, texts: DataFrame, k: int, threshold: int) -> Dat
         pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & alike & enough)
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         met = pairs if met is None else met.union(pairs)
-    out = stored(met.distinct(), "near-met")
-    removed(members, most, rest, rows, often, placed)
+    met = stored(met.distinct(), "near-met")
+    out = links.union(_links(met, lead, own, k, threshold))
+    removed(own, placed, here, most, rest, full, met)
     return out
 
 
@@ -291,12 +329,11 @@ def near_table(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
     several = stored(here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"), "near-several")
     mixed_ = stored(here.join(several, "key", "left_semi"), "near-mixed")
     removed(low, many, pairs, here, several)
-    more = _by_prefix(mixed_, texts, shingle, threshold)
-    links = links.union(_links(more, lead, texts, shingle, threshold))
+    links = links.union(_by_prefix(mixed_, lead, texts, shingle, threshold))
     rep = lambda x: lead.select(F.col("node").alias(x), F.col("rep").alias(f"rep_{x}"))
     links = links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     found = stored(components(equal.union(links)), "near-components")
-    removed(sets, lead, at, mixed_, texts, more)
+    removed(sets, lead, at, mixed_, texts)
     out = sig.join(found, sig["doc_id"] == found["node"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
