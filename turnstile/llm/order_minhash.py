@@ -1,17 +1,20 @@
 """Document fingerprints by Order MinHash (operator 2), DataFrame functions only.
 
-A text is a run of tokens: pieces of at most TOKEN characters without white space. Its k-mers, runs of K tokens,
-are numbered by their occurrence, so that a repeated k-mer counts each time. For each of SIGNATURES signatures, PICKS hash
-orders each select the k-mer that is smallest, and the selected k-mers, in the order in which they stand in the text, are
-hashed together. Two texts agree on a signature if the same k-mers come out in the same order: moving parts of a
+A text is a run of tokens: pieces of at most 16 characters without white space. Its k-mers, runs of K tokens,
+are numbered by their occurrence, so that a repeated k-mer counts each time. Each of SIGNATURES signatures has a hash order
+of the numbered k-mers, takes the two that are smallest in it, and hashes the two in the order in which they stand in the text.
+Two texts agree on a signature if the same two k-mers come out in the same order: moving parts of a
 text costs as edits do, other than with plain MinHash. The likeness of two fingerprints is the share of equal signatures.
 
-Each minimum is one 64-bit number, the hash above the position, so all of them are plain minima of one aggregation.
+The orders are those of one permutation: each numbered k-mer has one hash, and order j begins at the j-th of SIGNATURES equal
+parts of the hashes' range and goes on in a circle. So one sort of a text's hashes gives all of them, and a text with few k-mers
+needs no rule of its own. All steps are linear or a sort, on one row's arrays; nothing is exploded and no k-mer is shuffled.
+A hash has 32 bits, a place 31, which is all that an array can have.
 
 Cases: a null text counts as empty; texts without a token share one fingerprint, with a likeness of 1 to each other and of
-0 to all else; a text with fewer than K tokens is one k-mer. Ties in a hash fall to the earlier k-mer. Documents are
-ordered by id, descending, nulls last, then by a hash of the text; copies of a row (same id, same text) follow each other, so
-that a copy's next document is the next copy. Extra columns are not read.
+0 to all else; a text with fewer than K tokens is one k-mer, which is then both of the two. Ties in a hash fall to the earlier
+k-mer. Documents are ordered by id, descending, nulls last, then by a hash of the text; copies of a row (same id, same text)
+follow each other, so that a copy's next document is the next copy. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ from pyspark.sql.window import Window
 
 from .common import stored, text_of
 
-K, SIGNATURES, PICKS = 3, 32, 2
-#: Bits of a minimum that hold the position.
-PLACE = 22
+K, SIGNATURES = 3, 32
+#: Bits of a k-mer's place, below those of its hash, and bits of a number that tell its part of the hashes' range.
+PLACE, PART = 31, 58
 #: White space, or the end of a piece of 16 characters.
 SPLIT = r"[\x20\x09-\x0D]+|(?<=\G[^\x20\x09-\x0D]{16})"
 OWN, EDITED, SELF = 0, 1, 2
@@ -35,32 +38,49 @@ def tokens(text: Column) -> Column:
 
 
 def kmers(t: str) -> Column:
-    """Hashes of the k-mers in column t of tokens, in text order."""
+    """32-bit hashes of the k-mers in column t of tokens, in text order."""
     n = F.size(t)
-    at = lambda i: F.xxhash64(*[F.element_at(t, (i + j).cast("int")) for j in range(K)])
-    return F.when(n >= K, F.transform(F.sequence(F.lit(1), n - (K - 1)), at)).otherwise(F.array(F.xxhash64(F.array_join(t, " "))))
+    at = lambda i: F.hash(*[F.element_at(t, (i + j).cast("int")) for j in range(K)])
+    return F.when(n >= K, F.transform(F.sequence(F.lit(1), n - (K - 1)), at)).otherwise(F.array(F.hash(F.array_join(t, " "))))
 
 
-def signatures(texts: DataFrame, by: list[str], text: str, carry: str) -> DataFrame:
-    """``by``, ``signatures`` (array of int) and ``carry``, one row for each row of texts, which ``by`` must tell apart.
+def _number(hash_: Column, place: Column) -> Column:
+    """A hash above a place; such numbers order by both and are never negative."""
+    return F.shiftleft(hash_.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), PLACE).bitwiseOR(place.cast("long"))
 
-    Nothing is shuffled if texts is already dealt by some of these columns.
-    """
-    df = texts.select(*by, carry, tokens(F.col(text)).alias("_t")).select(*by, carry, kmers("_t").alias("_k"))
-    # The outer form, as Spark infers a filter from the other and works the k-mers out again for it, for each element.
-    df = df.select(*by, carry, F.posexplode_outer("_k").alias("_at", "_h"))
-    df = df.select(*by, F.when(F.col("_at") == 0, F.col(carry)).alias(carry), "_at", "_h")
-    nth = F.row_number().over(Window.partitionBy(*by, "_h").orderBy("_at"))
-    df = df.select(*by, carry, F.least(F.col("_at"), F.lit((1 << PLACE) - 1)).cast("long").alias("_at"), F.xxhash64("_h", nth).alias("_h"))
-    least = [F.min(F.shiftleft(F.hash("_h", F.lit(j)).cast("long"), PLACE).bitwiseOR(F.col("_at"))).alias(f"_m{j}") for j in range(SIGNATURES * PICKS)]
-    df = df.groupBy(*by).agg(*least, F.max(carry).alias(carry))
-    out = []
-    for j in range(0, SIGNATURES * PICKS, PICKS):
-        one, two = F.col(f"_m{j}"), F.col(f"_m{j + 1}")
-        place = lambda m: m.bitwiseAND(F.lit((1 << PLACE) - 1).cast("long"))
-        first = place(one) <= place(two)
-        out.append(F.hash(first, F.shiftright(one, PLACE), F.shiftright(two, PLACE)))
-    return df.select(*by, carry, F.array(*out).alias("signatures"))
+
+def _hash_of(number: Column) -> Column:
+    return F.shiftright(number, PLACE)
+
+
+def _place_of(number: Column) -> Column:
+    return number.bitwiseAND(F.lit((1 << PLACE) - 1).cast("long"))
+
+
+def signatures(texts: DataFrame, by: list[str], text: str, carry: str) -> DataFrame:
+    """``by``, ``signatures`` (array of int) and ``carry``, one row for each row of texts."""
+    keep = [*by, carry]
+    df = texts.select(*keep, tokens(F.col(text)).alias("_t")).select(*keep, kmers("_t").alias("_k"))
+    df = df.select(*keep, F.sort_array(F.transform("_k", _number)).alias("_s"))
+    # Equal k-mers now stand in a row, in text order: where such rows begin, and the numbers 1, 2, ... within each.
+    new = lambda i: (i == 0) | (_hash_of(F.get("_s", i)) != _hash_of(F.get("_s", i - 1)))
+    df = df.select(*keep, "_s", F.filter(F.sequence(F.lit(0), F.size("_s") - 1), new).alias("_b"))
+    nth = F.flatten(F.transform("_b", lambda b, r: F.sequence(F.lit(1), F.coalesce(F.get("_b", r + 1), F.size("_s")) - b)))
+    df = df.select(*keep, F.sort_array(F.zip_with("_s", nth, lambda x, k: _number(F.hash(_hash_of(x), k), _place_of(x)))).alias("_g"))
+    df = df.select(*keep, "_g", F.size("_g").alias("_n"), F.transform("_g", lambda g: F.shiftright(g, PART).cast("int")).alias("_p"))
+    # Where each part of the range begins among the sorted hashes (from 1); an empty part begins where the next one does.
+    # Arrays of an earlier step are named twice within a lambda, else Spark would put that step into it, once per element.
+    parts = F.sequence(F.lit(0), F.lit(SIGNATURES - 1))
+    df = df.select(*keep, "_g", "_n", F.transform(parts, lambda j: F.when(F.array_contains("_p", j), F.array_position("_p", j).cast("int"))).alias("_a"))
+    later = lambda j: F.filter(F.slice("_a", j + 1, F.lit(SIGNATURES)), lambda a: a.isNotNull())
+    df = df.select(*keep, "_g", "_n", F.transform(parts, lambda j: F.coalesce(F.get("_a", j), F.get(later(j), F.lit(0)), F.lit(1))).alias("_a"))
+    df = df.select(*keep, F.transform("_a", lambda a: F.struct(F.element_at("_g", a).alias("one"), F.element_at("_g", a % F.col("_n") + 1).alias("two"))).alias("_m"))
+
+    def tuple_of(m: Column) -> Column:
+        one, two = m["one"], m["two"]
+        return F.when(_place_of(one) <= _place_of(two), F.hash(_hash_of(one), _hash_of(two))).otherwise(F.hash(_hash_of(two), _hash_of(one)))
+
+    return df.select(*keep, F.transform("_m", tuple_of).alias("signatures"))
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -98,9 +118,11 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     ids = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("text")).cast("long").alias("n_chars"))
     ids = stored(neighbours(ids), "order-ids")
     # One row for equal rows; each sends its beginning to the document before it.
-    spot = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "key")
+    # An id and a hash of the text, so that rows are mixed up only where both are the same.
+    own = lambda i, k: F.struct(F.coalesce(F.col(i), F.lit(0)).alias("id"), F.col(i).isNull().alias("none"), F.col(k).alias("key"))
+    spot = own("doc_id", "key")
     whole = rows.select(spot.alias("spot"), "text").groupBy("spot").agg(F.first("text").alias("text"))
-    known = ids.select(spot.alias("spot"), "copies", "n_chars", F.xxhash64(F.col("prev_doc_id").isNull(), "prev_doc_id", "prev_key").alias("prev_spot"), "prev_n_chars")
+    known = ids.select(spot.alias("spot"), "copies", "n_chars", own("prev_doc_id", "prev_key").alias("prev_spot"), "prev_n_chars")
     whole = whole.join(known, "spot")
     third = lambda c: F.floor(F.col(c) / 3).cast("int")
     heads = whole.select(F.col("prev_spot").alias("spot"), F.substring("text", F.lit(1), third("prev_n_chars")).alias("head"))
@@ -114,7 +136,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     forms = forms.select("spot", "kind", "text", F.when(F.col("kind") != OWN, F.sha2("text", 256)).alias("sha"))
     prints = stored(signatures(forms, ["spot", "kind"], "text", "sha"), "order-prints")
     of = lambda kind, name: prints.filter(F.col("kind") == kind).select(F.col("spot").alias(f"{name}_spot"), F.col("signatures").alias(name), F.col("sha").alias(f"{name}_sha"))
-    out = ids.select("doc_id", "copies", "n_chars", spot.alias("spot"), F.xxhash64(F.col("next_doc_id").isNull(), "next_doc_id", "next_key").alias("next"))
+    out = ids.select("doc_id", "copies", "n_chars", spot.alias("spot"), own("next_doc_id", "next_key").alias("next"))
     out = out.join(of(OWN, "own"), F.col("spot") == F.col("own_spot")).join(of(EDITED, "edited"), F.col("spot") == F.col("edited_spot"))
     out = out.join(of(OWN, "other"), F.col("next") == F.col("other_spot")).join(of(SELF, "self"), F.col("spot") == F.col("self_spot"), "left")
     last = out.select("doc_id", "n_chars", F.col("edited_sha").alias("edited_sha256"), "own", "edited", "other")
