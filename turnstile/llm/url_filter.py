@@ -10,8 +10,8 @@ labelled urls, which the models do not see, as the least sum of both error rates
 The alphabet has ALPHABET classes (letters, one for all digits, common punctuation, the rest), so a model has at most
 ALPHABET ** (ORDER + 1) entries, 2.8 million, at any size of input; that bounds what is collected and broadcast.
 
-Cases: a null url, or one without "://", has an empty host and path and no rule, and is allowed; so are all urls without
-a rule where one of the two classes has no labelled url. Repeated urls count as often as they occur. Only page_id and url are read.
+Cases: a null url counts as an empty one. A url without "://" has an empty host and path and no rule; the models judge it by its
+characters like any other. Where one of the two classes has no labelled url, urls without a rule are allowed. Repeated urls count as often as they occur. Only page_id and url are read.
 """
 
 from __future__ import annotations
@@ -162,5 +162,5 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     score = scorer(spark, table)
     threshold = calibrated(labelled.filter("fold = 0").select("label", score("url").alias("score")))
     out = df.withColumn("score", score("url"))
-    verdict = F.coalesce("ruled", F.when((F.col("host") == "") | (F.col("score") >= threshold), "allow").otherwise("block"))
+    verdict = F.coalesce("ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", F.lit(threshold).alias("threshold"))
