@@ -10,7 +10,7 @@ matrices of a transcript, one small row a chunk, are folded to find the states a
 decoded on their own. The result is that of one pass over the whole transcript.
 
 Cases: a null line counts as empty; lines with the same number are ordered by their text; a null conv_id is a
-transcript of its own. A transcript of blank lines only has no turn. Without labelled lines probabilities are uniform.
+transcript of its own. Turn numbers are 32-bit; one beyond that is an error. A transcript of blank lines only has no turn. Without labelled lines probabilities are uniform.
 Extra columns are not read.
 """
 
@@ -35,8 +35,9 @@ MARKER = r"(?i)^\s*(?:#+\s*({0})\s*:?\s*$|[*_]*({0})[*_]*\s*:\s*)"
 ANY = MARKER.format("|".join(NAMES[r] for r in ROLES))
 #: Values of each feature: marker (none, by role, some other name), words, end.
 VALUES = (5, 5, 5)
-#: Line numbers that a chunk spans.
-SPAN = 1 << 26
+#: Bits of a line number that count the lines within a turn (an array's size has no more), and line numbers that a chunk spans.
+WITHIN = 31
+SPAN = 64 << WITHIN
 
 
 def features(line: Column) -> list[Column]:
@@ -230,7 +231,7 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
 
 def lines_of(raw: DataFrame) -> DataFrame:
     df = raw.select("conv_id", "turn", "role", F.size("_l").alias("n"), F.posexplode("_l").alias("at", "line"))
-    return df.withColumn("line_no", F.shiftleft("turn", 20) + F.col("at"))
+    return df.withColumn("line_no", F.col("turn").cast("int") * F.lit(1 << WITHIN) + F.col("at"))
 
 
 def with_next(raw: DataFrame) -> DataFrame:
