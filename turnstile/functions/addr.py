@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-V4 = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
+V4 = rf"^{OCTET}(?:\.{OCTET}){{3}}\z"
 
 
 def is_v4(token: Column) -> Column:
@@ -36,10 +36,12 @@ def _v6_shape() -> str:
         forms.append(rf"{left}::" + (rf"(?:{h}(?::{h}){{0,{6 - n}}})?" if n < 7 else ""))
         if n <= 5:
             forms.append(rf"{left}::(?:{h}:){{0,{5 - n}}}{quad}")
-    return "^(?:" + "|".join(forms) + ")$"
+    return "^(?:" + "|".join(forms) + r")\z"
 
 
 V6 = _v6_shape()
+#: Characters of the longest text of an address.
+LONGEST = 45
 
 
 def with_hex(df: DataFrame, token: str, out: str) -> DataFrame:
@@ -59,19 +61,17 @@ def is_address(token: Column) -> Column:
     return is_v4(token) | (token.contains(":") & token.rlike(V6))
 
 
-#: Port suffixes that are taken off at most.
-CUTS = 4
-
-
 def without_port(token: Column) -> Column:
-    """The token if it is an address; else what is left of its last colon, again and again; null if that is none."""
-    tries = [token]
-    for _ in range(CUTS):
-        tries.append(F.regexp_replace(tries[-1], r":[^:]*$", ""))
-    out = F.lit(None).cast("string")
-    for t in reversed(tries):
-        out = F.when(is_address(t), t).otherwise(out)
-    return out
+    """The token if it is an address; else what is left of its last colon, again and again; null if that is none.
+
+    An address has 45 characters at most, so only the beginnings of the token that end ahead of a colon and are
+    no longer than that can be one. The longest that is wins.
+    """
+    head = F.substring(token, 1, LONGEST + 1)
+    ends = F.filter(F.sequence(F.lit(1), F.length(head)), lambda i: F.substring(head, i + 1, F.lit(1)) == ":")
+    tries = F.transform(F.reverse(ends), lambda i: F.substring(head, F.lit(1), i))
+    cut = F.get(F.filter(tries, is_address), F.lit(0))
+    return F.when(is_address(token), token).when(token.contains(":"), cut)
 
 
 def with_ip(df: DataFrame, token: str, out: str) -> DataFrame:
@@ -102,8 +102,17 @@ def with_bin(df: DataFrame, ip: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(F.unhex("_hex16"), F.unhex(F.lpad(F.hex(v4_number(F.col(ip))), 8, "0")))).drop("_hex16")
 
 
+def masked(ip_bin: Column, bits: Column) -> Column:
+    """Upper bits of a binary address as hex digits; the rest is left out. With the number of bits, it names a network."""
+    digits = F.hex(ip_bin)
+    whole, odd = F.floor(bits / 4).cast("int"), F.pmod(bits, F.lit(4))
+    edge = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    step = F.call_function("shiftleft", F.lit(1), (4 - odd).cast("int"))
+    return F.concat(F.substring(digits, F.lit(1), whole), F.when(odd > 0, F.hex((edge - F.pmod(edge, step)).cast("long"))).otherwise(""))
+
+
 def with_range(df: DataFrame, cidr: str) -> DataFrame:
-    """Adds family, lo, hi (bytes) of a network; all null if the text is none. Host bits are allowed."""
+    """Adds family, lo, hi (bytes) and bits of a network; all null if the text is none. Host bits are allowed."""
     df = df.withColumn("_addr", F.substring_index(cidr, "/", 1)).withColumn("_bits", F.regexp_extract(F.col(cidr), r"^[^/]+/([0-9]{1,3})$", 1).try_cast("int"))
     df = with_hex(df, "_addr", "_digits").withColumn("_n", F.when(F.col("_bits") <= 32, v4_number(F.col("_addr"))))
     df = df.withColumn("_size", F.call_function("shiftleft", F.lit(1).cast("long"), 32 - F.least("_bits", F.lit(32)))).withColumn("_lo", F.col("_n") - F.pmod("_n", "_size"))
@@ -117,4 +126,5 @@ def with_range(df: DataFrame, cidr: str) -> DataFrame:
     df = df.withColumn("family", F.when(F.col("_n").isNotNull(), 4).when(six, 6).cast("int"))
     df = df.withColumn("lo", F.when(F.col("family") == 4, quad(F.col("_lo"))).when(six, F.unhex(side(F.col("_edge"), "0"))))
     df = df.withColumn("hi", F.when(F.col("family") == 4, quad(F.col("_lo") + F.col("_size") - 1)).when(six, F.unhex(side(F.col("_edge") + F.col("_step") - 1, "f"))))
+    df = df.withColumn("bits", F.when(F.col("family").isNotNull(), bits))
     return df.drop("_addr", "_bits", "_digits", "_n", "_size", "_lo", "_full", "_step", "_edge")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,16 +15,17 @@ EPOCH = r"(\d{10,})"
 COMMON = r"(\d{2})/([A-Z][a-z]{2})/(\d{4}):(\d{2}):(\d{2}):(\d{2})"
 
 
-def _part(line: Column, shape: str, i: int) -> Column:
-    return F.regexp_extract(line, shape, i)
+def _once(line: Column, shape: str, read: Callable[[Column], Column]) -> Column:
+    """read of the first text of a shape (empty if there is none), which is looked for once."""
+    return F.get(F.transform(F.array(F.regexp_extract(line, shape, 0)), read), F.lit(0))
 
 
 def _month(name: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, MONTHS)), name).cast("int")
 
 
-def _clock(line: Column, shape: str, i: int) -> Column:
-    h, m, s = (_part(line, shape, i + k).try_cast("int") for k in range(3))
+def _clock(parts: list[Column]) -> Column:
+    h, m, s = (p.try_cast("int") for p in parts)
     return F.when((h < 24) & (m < 60) & (s < 60), h * 3600 + m * 60 + s)
 
 
@@ -34,25 +37,38 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 
 def syslog(line: Column, year: Column) -> Column:
     """``Mon d hh:mm:ss`` of a given year."""
-    return _date(year, _month(_part(line, SYSLOG, 1)), _part(line, SYSLOG, 2).try_cast("int")) * 86400 + _clock(line, SYSLOG, 3)
+
+    def read(m: Column) -> Column:
+        parts = [F.get(F.split(m, r"[\s:]+"), F.lit(i)) for i in range(5)]
+        return _date(year, _month(parts[0]), parts[1].try_cast("int")) * 86400 + _clock(parts[2:])
+
+    return _once(line, SYSLOG, read)
 
 
 def iso(line: Column) -> Column:
     """``YYYY-MM-DD hh:mm:ss``; a day up to 31 runs over into the next month; offsets and fractions are left out."""
-    year, month, day = (_part(line, ISO, i).try_cast("int") for i in (1, 2, 3))
-    h, m, s = (_part(line, ISO, i).try_cast("int") for i in (4, 5, 6))
-    first = F.when(month.isNotNull(), F.unix_date(F.make_date(year, month, F.lit(1))))
-    return (first + day - 1).cast("long") * 86400 + h * 3600 + m * 60 + s
+
+    def read(t: Column) -> Column:
+        year, month, day, h, m, s = (F.substring(t, a, n).try_cast("int") for a, n in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2)))
+        first = F.when(month.isNotNull(), F.unix_date(F.make_date(year, month, F.lit(1))))
+        return (first + day - 1).cast("long") * 86400 + h * 3600 + m * 60 + s
+
+    return _once(line, ISO, read)
 
 
 def epoch(line: Column) -> Column:
     """The first run of ten or more digits, whole."""
-    return _part(line, EPOCH, 1).try_cast("long")
+    return F.regexp_extract(line, EPOCH, 1).try_cast("long")
 
 
 def common(line: Column) -> Column:
     """``dd/Mon/yyyy:hh:mm:ss``; the offset is left out."""
-    return _date(_part(line, COMMON, 3).try_cast("int"), _month(_part(line, COMMON, 2)), _part(line, COMMON, 1).try_cast("int")) * 86400 + _clock(line, COMMON, 4)
+
+    def read(m: Column) -> Column:
+        part = lambda a, n: F.substring(m, a, n)
+        return _date(part(8, 4).try_cast("int"), _month(part(4, 3)), part(1, 2).try_cast("int")) * 86400 + _clock([part(13, 2), part(16, 2), part(19, 2)])
+
+    return _once(line, COMMON, read)
 
 
 def event_time(line: Column, form: Column, year: Column) -> Column:

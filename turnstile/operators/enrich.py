@@ -7,21 +7,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnstile.functions import addr
+from turnstile.operators.extract import holding
+from turnstile.sources.tables import written
 
 #: Bits of an address that an equi-join takes before the range is compared.
 BUCKET = 16
 
 
+def geo_prefix(rows: DataFrame, nets: DataFrame, fields: list[str]) -> DataFrame:
+    """rows (ip) left joined with the narrowest network (cidr, ...) of either family that holds their address; one row each.
+
+    Only distinct addresses look for networks, by the prefix lengths that there are.
+    """
+    known = written(addr.with_range(nets.select("cidr", *fields), "cidr"), "networks")
+    found = holding(rows.select("ip").distinct(), known).groupBy("ip").agg(F.max_by(F.struct(*fields), F.struct("bits", "cidr")).alias("_net"))
+    found = found.select(F.col("ip").alias("_ip"), "_net")
+    return rows.join(found, F.col("ip") == F.col("_ip"), "left").select(*rows.columns, *[F.col(f"_net.{f}").alias(f) for f in fields])
+
+
 def geo_range(rows: DataFrame, nets: DataFrame) -> DataFrame:
-    """rows (ip) left joined with version-4 networks (lo_n, hi_n, ...) that hold their address.
+    """rows (ip) left joined with the narrowest version-4 range (lo_n, hi_n, ...) that holds their address; one row each.
 
-    Networks are dealt by the address blocks they touch, so the range is compared within a block only.
+    Ranges are dealt by the address blocks they touch, so they are compared within a block only. ``geo_prefix`` takes
+    networks of both families.
     """
+    fields = [c for c in nets.columns if c not in ("lo_n", "hi_n")]
     first, last = F.shiftright("lo_n", 32 - BUCKET), F.shiftright("hi_n", 32 - BUCKET)
     dealt = nets.withColumn("_block", F.explode(F.sequence(first, last)))
-    mine = rows.withColumn("_n", addr.v4_number(F.col("ip"))).withColumn("_b", F.shiftright("_n", 32 - BUCKET))
+    mine = rows.select(F.col("ip").alias("_ip")).distinct().withColumn("_n", addr.v4_number(F.col("_ip"))).withColumn("_b", F.shiftright("_n", 32 - BUCKET))
     on = (F.col("_b") == F.col("_block")) & (F.col("_n") >= F.col("lo_n")) & (F.col("_n") <= F.col("hi_n"))
-    return mine.join(dealt, on, "left").drop("_n", "_b", "_block", "lo_n", "hi_n")
+    width = F.struct(F.col("hi_n") - F.col("lo_n"), "lo_n")
+    found = mine.join(dealt, on).groupBy("_ip").agg(F.min_by(F.struct(*fields), width).alias("_net"))
+    return rows.join(found, F.col("ip") == F.col("_ip"), "left").select(*rows.columns, *[F.col(f"_net.{f}").alias(f) for f in fields])
 
 
 def geo_asof(rows: DataFrame, nets: DataFrame, fields: list[str]) -> DataFrame:

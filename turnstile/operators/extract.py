@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.functions import addr, eventtime
-from turnstile.plans.catalogue import expand, gate, host_group
+from turnstile.plans.catalogue import host_group, literals, steady
 from turnstile.sources.tables import written
 
 MAX_LINE = 65536
@@ -21,39 +22,58 @@ def clean_lines(lines: DataFrame, bound: int = MAX_LINE) -> DataFrame:
     return lines.filter(F.octet_length("line") <= bound).withColumn("line", F.regexp_replace(line, r"\s+$", ""))
 
 
-def token(line: Column, pattern: str, gated: bool = True) -> Column:
-    """The text at <HOST>, null where the pattern does not match; its gate is tried first."""
-    shape = "(?d)" + expand(pattern)
-    hit = line.rlike(shape)
-    literal = gate(pattern) if gated else None
-    if literal is not None:
-        hit = line.contains(literal) & hit
-    return F.when(hit, F.regexp_extract(line, shape, host_group(pattern)))
+def _found(line: Column, pattern: str, gates: Sequence[Column]) -> Column:
+    """The text at <HOST> from one run of the pattern; empty, or null behind a gate, where it does not match."""
+    text = F.regexp_extract(line, "(?dm)" + steady(pattern), host_group(pattern))
+    open_ = None
+    for g in gates:
+        open_ = g if open_ is None else open_ & g
+    return text if open_ is None else F.when(open_, text)
 
 
-def _tokens(line: Column, jails: Jails, gated: bool) -> Column:
-    found = []
-    for jail, patterns in jails:
-        for i, pattern in enumerate(patterns):
-            t = token(line, pattern, gated)
-            found.append(F.when(t.isNotNull(), F.struct(F.lit(jail).alias("jail"), F.lit(i).alias("pattern_idx"), t.alias("token"))))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+def token(line: Column, pattern: str, gated: bool = True) -> Column:
+    """The text at <HOST>, null where the pattern does not match; the literals that it needs are looked for first."""
+    text = _found(line, pattern, [line.contains(x) for x in literals(pattern)] if gated else [])
+    return F.when(text != "", text)
 
 
 def match(lines: DataFrame, jails: Jails, gated: bool = True) -> DataFrame:
     """lines with jail, pattern_idx and ip: for each jail the first of its patterns that yields an address.
 
-    One pass over the text for all jails; addresses are parsed only where a pattern has matched.
+    One pass over the text for all jails. A literal that several patterns need is looked for once; a pattern
+    runs once, and only on lines that have all of its literals; addresses are parsed only where a pattern has matched.
     """
-    df = lines.withColumn("_t", _tokens(F.col("line"), jails, gated))
-    parsed = F.transform("_t", lambda x: F.struct(x["jail"].alias("jail"), x["pattern_idx"].alias("pattern_idx"), addr.without_port(x["token"]).alias("token")))
-    df = df.withColumn("_t", F.filter(parsed, lambda x: x["token"].isNotNull()))
-    first = F.filter("_t", lambda x, i: ~F.exists(F.slice("_t", F.lit(1), i), lambda y: y["jail"] == x["jail"]))
-    df = df.withColumn("_t", F.explode_outer(first)).filter(F.col("_t").isNotNull())
+    line = F.col("line")
+    rows = [(jail, i, pattern) for jail, patterns in jails for i, pattern in enumerate(patterns)]
+    needed = [literals(p) if gated else [] for _, _, p in rows]
+    first = [x[0] for x in needed if x]
+    shared = {x: f"_g{k}" for k, x in enumerate(dict.fromkeys(x for x in first if first.count(x) > 1))}
+    df = lines.withColumns({name: line.contains(x) for x, name in shared.items()})
+    texts = [_found(line, p, [F.col(shared[x]) if x in shared else line.contains(x) for x in need]) for (_, _, p), need in zip(rows, needed)]
+    df = df.select(*lines.columns, F.array(*texts).alias("_t"))
+    number = lambda values: F.array(*map(F.lit, values))
+    names, places = number([j for j, _, _ in rows]), number([i for _, i, _ in rows])
+    hit = lambda t, k: F.struct(F.element_at(names, k + 1).alias("jail"), F.element_at(places, k + 1).alias("pattern_idx"), F.when(t != "", addr.without_port(t)).alias("token"))
+    parsed = F.filter(F.transform("_t", hit), lambda x: x["token"].isNotNull())
+    df = df.select(*lines.columns, F.when(F.array_join("_t", "") != "", parsed).alias("_t"))
+    first_of_jail = F.filter("_t", lambda x, i: ~F.exists(F.slice("_t", F.lit(1), i), lambda y: y["jail"] == x["jail"]))
+    # The outer form, as Spark infers a filter from the other and would run all patterns again for it.
+    df = df.withColumn("_t", F.explode_outer(first_of_jail)).filter(F.col("_t").isNotNull())
     df = df.select(*lines.columns, "_t.jail", "_t.pattern_idx", F.col("_t.token").alias("_token"))
     return addr.with_ip(df, "_token", "ip").drop("_token")
 
 
+def address_behind(line: Column, literal: str) -> Column:
+    """The first address-like text that stands directly behind a literal; a client may have put it there."""
+    return F.regexp_extract(line, re.escape(literal) + "([0-9A-Fa-f.:]{2,})", 1)
+
+
+def address_ahead(line: Column, literal: str) -> Column:
+    """The last address ahead of the first place of a literal."""
+    ahead = F.split(F.substring_index(line, literal, 1), r"[^0-9A-Fa-f.:]+")
+    return F.get(F.filter(F.transform(F.reverse(ahead), addr.without_port), lambda x: x.isNotNull()), F.lit(0))
+
+
 def drop_ignored(matched: DataFrame, ignore: Sequence[str]) -> DataFrame:
     """Leaves out lines that any ignore pattern matches; tried on matched lines only."""
     for pattern in ignore:
@@ -62,31 +82,38 @@ def drop_ignored(matched: DataFrame, ignore: Sequence[str]) -> DataFrame:
 
 
 def networks(allowed: DataFrame) -> DataFrame:
-    """allowed (jail, cidr) to jail, family, lo, hi; loopback networks are always among them. Invalid texts have no range."""
+    """allowed (jail, cidr) to jail, family, bits, lo, hi; loopback networks are always among them. Invalid texts have no range."""
     spark = allowed.sparkSession
     own = spark.createDataFrame([(None, "127.0.0.0/8"), (None, "::1/128")], "jail string, cidr string")
     return written(addr.with_range(allowed.select("jail", "cidr").union(own), "cidr"), "networks")
 
 
-def _with_bin(rows: DataFrame) -> DataFrame:
-    return addr.with_bin(rows.withColumn("_family", addr.family(F.col("ip"))), "ip", "_bin")
+def holding(ips: DataFrame, nets: DataFrame) -> DataFrame:
+    """ips (ip, distinct) with the columns of each network (family, bits, lo, ..., written) that holds them.
 
-
-def _within(nets: DataFrame) -> Column:
-    return (F.col("_family") == nets["family"]) & (F.col("_bin") >= nets["lo"]) & (F.col("_bin") <= nets["hi"])
+    An address meets networks by its first bits, once for each prefix length that its family's networks have: an equi-join of
+    both families, without a key that many addresses share but that of a network that holds them all.
+    """
+    known = nets.filter("family IS NOT NULL")
+    lengths = known.groupBy("family").agg(F.collect_set("bits").alias("_all"))  # two rows, of 129 lengths at most
+    mine = addr.with_bin(ips.select("ip").withColumn("_family", addr.family(F.col("ip"))), "ip", "_bin")
+    mine = mine.join(F.broadcast(lengths), mine["_family"] == lengths["family"]).select("ip", "_family", "_bin", F.explode("_all").alias("_bits"))
+    mine = mine.select("ip", "_family", "_bits", addr.masked(F.col("_bin"), F.col("_bits")).alias("_key"))
+    known = known.withColumn("_net", addr.masked(F.col("lo"), F.col("bits")))
+    on = (mine["_family"] == known["family"]) & (mine["_bits"] == known["bits"]) & (mine["_key"] == known["_net"])
+    return mine.join(known, on).drop("_family", "_bits", "_key", "_net")
 
 
 def drop_allowed(failures: DataFrame, allowed: DataFrame) -> DataFrame:
     """Failures whose address no allow-list network of their jail (or of all jails) holds."""
-    nets = networks(allowed).filter("family IS NOT NULL").withColumnRenamed("jail", "_jail")
-    on = _within(nets) & (nets["_jail"].isNull() | (nets["_jail"] == F.col("jail")))
-    return _with_bin(failures).join(nets, on, "left_anti").drop("_family", "_bin")
+    held = holding(failures.select("ip").distinct(), networks(allowed)).select(F.col("ip").alias("_ip"), F.col("jail").alias("_jail")).distinct()
+    return failures.join(held, (F.col("ip") == F.col("_ip")) & (F.col("_jail").isNull() | (F.col("_jail") == F.col("jail"))), "left_anti")
 
 
 def in_networks(rows: DataFrame, cidrs: DataFrame) -> DataFrame:
     """Rows whose ip lies in any of the networks."""
-    nets = networks(cidrs).filter("family IS NOT NULL")
-    return _with_bin(rows).join(nets, _within(nets), "left_semi").drop("_family", "_bin")
+    held = holding(rows.select("ip").distinct(), networks(cidrs)).select(F.col("ip").alias("_ip")).distinct()
+    return rows.join(held, F.col("ip") == F.col("_ip"), "left_semi")
 
 
 def with_time(matched: DataFrame, form: Column | str, year: int, default: Column | None = None) -> DataFrame:

@@ -17,6 +17,17 @@ def threshold(failures: DataFrame, max_retry: int, find_time: int) -> DataFrame:
     return df.filter(F.col("span") < find_time)
 
 
+def reached(failures: DataFrame, rules: list[tuple[str, int, int]]) -> DataFrame:
+    """Failures at which a rule (jail, max_retry, find_time) of their jail holds, from one sort for all rules."""
+    df = failures
+    for n in sorted({n for _, n, _ in rules}):
+        df = df.withColumn(f"_span{n}", F.col("ts") - F.lag("ts", n - 1).over(_by()))
+    holds = F.lit(False)
+    for jail, n, t in rules:
+        holds = holds | ((F.col("jail") == jail) & (F.col(f"_span{n}") < t))
+    return df.filter(holds).select(*failures.columns)
+
+
 def threshold_by_policy(failures: DataFrame, policy: DataFrame) -> DataFrame:
     """As threshold, with each jail's max_retry and find_time from a policy table."""
     df = failures.join(policy.filter("enabled").select("jail", "max_retry", "find_time"), "jail")

@@ -82,21 +82,37 @@ class Address:
         return length, self.ban(jail, now, length), self.count
 
 
+Policies = dict[str, Policy] | list[tuple[int, dict[str, Policy]]]
+
+
+def versions_of(policies: Policies) -> list[tuple[int, dict[str, Policy]]]:
+    """Policies as (valid from, by jail), in order of time; one mapping is valid from the beginning."""
+    return [(-LONG_MAX, policies)] if isinstance(policies, dict) else sorted(policies, key=lambda v: v[0])
+
+
 EVENTS = ["ip", "jail", "ts", "seq", "kind"]
 SCHEMA = "kind string, ip string, jail string, banned_at long, expires_at long, ban_time long, ban_count int, manual boolean, seq long"
 
 
-def fold(policies: dict[str, Policy]):
-    """Sorted events to rows of kind ban, unban (by hand) or reject."""
+def fold(policies: Policies):
+    """Sorted events to rows of kind ban, unban (by hand) or reject.
+
+    An event is judged by the policies that are valid at its time. When others become valid, bans and counts stay, and so do rings
+    but those of jails that are then missing.
+    """
+    versions = versions_of(policies)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ip, state = None, Address()
+        ip, state, v = None, Address(), 0
         for pdf in batches:
             out = []
             for who, jail, ts, seq, kind in zip(*[pdf[c] for c in EVENTS]):
                 if who != ip:
-                    ip, state = who, Address()
-                policy = policies.get(jail)
+                    ip, state, v = who, Address(), 0
+                while v + 1 < len(versions) and versions[v + 1][0] <= ts:
+                    v += 1
+                    state.rings = {j: r for j, r in state.rings.items() if j in versions[v][1]}
+                policy = versions[v][1].get(jail) if versions[v][0] <= ts else None
                 known = policy is not None and policy.enabled
                 if kind == "failure":
                     if known and (b := state.failure(jail, ts, policy)) is not None:
@@ -124,26 +140,23 @@ def events(failures: DataFrame, commands: DataFrame | None = None) -> DataFrame:
     return rows
 
 
-def all_rows(failures: DataFrame, policies: dict[str, Policy], commands: DataFrame | None = None, prune: bool = True) -> DataFrame:
+def all_rows(failures: DataFrame, policies: Policies, commands: DataFrame | None = None, prune: bool = True) -> DataFrame:
     """Bans, manual unbans and rejected commands. Addresses that never reach a raw threshold are left out before the fold.
 
-    Failures are written out first, so that lines are matched once.
+    Failures are written out first, so that lines are matched once, and so is the timeline, which is folded once however often it is read.
     """
     failures = written(failures, "failures")
     rows = events(failures, commands)
     if prune:
-        hits = None
-        for jail, p in policies.items():
-            one = rules.threshold(failures.filter(F.col("jail") == jail), p.max_retry, p.find_time).select("ip")
-            hits = one if hits is None else hits.union(one)
+        hits = rules.reached(failures, [(j, p.max_retry, p.find_time) for _, jails in versions_of(policies) for j, p in jails.items()]).select("ip")
         if commands is not None:
             hits = hits.union(commands.select("ip"))
         rows = rows.join(hits.distinct(), "ip", "left_semi")
     rows = rows.repartition("ip").sortWithinPartitions("ip", "ts", "seq", "jail", "kind")
-    return rows.mapInPandas(fold(policies), SCHEMA)
+    return written(rows.mapInPandas(fold(policies), SCHEMA), "timeline")
 
 
-def bans(failures: DataFrame, policies: dict[str, Policy], commands: DataFrame | None = None) -> DataFrame:
+def bans(failures: DataFrame, policies: Policies, commands: DataFrame | None = None) -> DataFrame:
     """The timeline, with each ban's real end (a manual unban may come before it expires)."""
     rows = all_rows(failures, policies, commands)
     if commands is None:

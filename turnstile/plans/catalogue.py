@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Service, time format, pattern. <HOST> stands for the address.
 PATTERNS = r"""
 sshd	syslog	sshd\[\d+\]: Failed password for .* from <HOST> port \d+
@@ -153,10 +155,10 @@ def patterns_of(service: str) -> tuple[str, ...]:
 
 
 def expand(pattern: str) -> str:
-    """The pattern with its one <HOST> as a group."""
+    """The pattern with its one <HOST> as a group; named groups as Java writes them."""
     if pattern.count(TAG) != 1:
         raise ValueError(f"a pattern needs one {TAG}: {pattern}")
-    return pattern.replace(TAG, HOST)
+    return pattern.replace("(?P<", "(?<").replace(TAG, HOST)
 
 
 def host_group(pattern: str) -> int:
@@ -170,7 +172,7 @@ def host_group(pattern: str) -> int:
             inside = True
         elif c == "]":
             inside = False
-        elif c == "(" and not inside and (before[i + 1 : i + 2] != "?" or before[i + 1 : i + 3] in ("?P", "?<")):
+        elif c == "(" and not inside and (before[i + 1 : i + 2] != "?" or before[i + 1 : i + 4] == "?P<" or before[i + 1 : i + 3] == "?<" and before[i + 3 : i + 4] not in ("=", "!")):
             n += 1
         i += 1
     return n
@@ -199,3 +201,99 @@ def gate(pattern: str) -> str | None:
         return runs[-1]
     longest = max(runs, key=len)
     return longest if len(longest) >= 3 else runs[-1] or None
+
+
+def _atoms(pattern: str) -> list[tuple[str, str]]:
+    """The pattern's parts in a row: (text, quantifier). A group, a class, <HOST>, an escape or a character is one text."""
+    out, i = [], 0
+    while i < len(pattern):
+        start = i
+        if pattern.startswith(TAG, i):
+            i += len(TAG)
+        elif pattern[i] == "\\":
+            i += 2
+        elif pattern[i] == "[":
+            i += 2
+            while pattern[i] != "]":
+                i += 2 if pattern[i] == "\\" else 1
+            i += 1
+        elif pattern[i] == "(":
+            depth = 0
+            while True:
+                c = pattern[i]
+                if c == "[":
+                    while pattern[i] != "]":
+                        i += 2 if pattern[i] == "\\" else 1
+                depth += (c == "(") - (c == ")")
+                i += 2 if c == "\\" else 1
+                if not depth:
+                    break
+        else:
+            i += 1
+        text, at = pattern[start:i], i
+        if i < len(pattern) and pattern[i] in "*+?":
+            i += 1
+        elif i < len(pattern) and pattern[i] == "{":
+            i = pattern.index("}", i) + 1
+        if i > at and i < len(pattern) and pattern[i] in "?+":
+            i += 1
+        out.append((text, pattern[at:i]))
+    return out
+
+
+def literals(pattern: str) -> list[str]:
+    """Texts of three characters or more that every matching line has, on both sides of <HOST>."""
+    atoms = _atoms(pattern)
+    if any(t.startswith("(?") and t[2:3] not in (":", "P", "<", "=", "!", ">") or t == "|" for t, _ in atoms):
+        return []
+    runs, run = [], ""
+    for text, times in atoms:
+        char = text if len(text) == 1 and text not in ".^$" else text[1] if len(text) == 2 and text[0] == "\\" and not text[1].isalnum() else None
+        if char is None or times and times[0] in "*?{":
+            runs.append(run)
+            run = ""
+            continue
+        run += char
+        if times:
+            runs.append(run)
+            run = ""
+    return sorted({r for r in [*runs, run] if len(r) >= 3}, key=lambda r: (-len(r), r))
+
+
+def _plain(text: str, times: str) -> bool:
+    """Whether a part may stand in an atomic group: a character, a class, or alternatives of plain text."""
+    if text.startswith("("):
+        return not set("*+{.[") & set(re.sub(r"\\.", "", text)) and (text[1] != "?" or text.startswith("(?:"))
+    return text not in ("|", "^", "$") and not re.fullmatch(r"\\[BAzZGk0-9]", text) and (text, times) != (".", "{")
+
+
+def steady(pattern: str) -> str:
+    """An equal form of expand(pattern) that gives up soon on lines made to match nearly.
+
+    Where ``.*`` stands between parts, only one choice matters: each part ahead of <HOST>'s is as good at its first place as at any
+    other, and of the parts behind it only their being there counts. So those are atomic; the gap ahead of <HOST>'s part stays as it
+    is. A pattern with anything beyond plain parts is left alone.
+    """
+    atoms = _atoms(pattern)
+    flags = ""
+    if atoms and atoms[0][0].startswith("(?") and atoms[0][0].strip("(?)").isalpha():
+        flags, atoms = atoms[0][0], atoms[1:]
+    pieces: list[list[tuple[str, str]]] = [[]]
+    gaps = []
+    for text, times in atoms:
+        if text == "." and times[:1] in ("*", "+") and times:
+            gaps.append(times)
+            pieces.append([])
+        else:
+            pieces[-1].append((text, times))
+    at = next(i for i, x in enumerate(pieces) if any(t == TAG for t, _ in x))
+    atomic = [x for i, x in enumerate(pieces) if i != at]
+    # A part that ends in a repeated character could take what the next one begins with.
+    open_ended = [x for i, x in enumerate(pieces[:-1]) if i != at and (not x or x[-1][1])]
+    if open_ended or not all(_plain(t, q) for x in pieces for t, q in x) or not atomic:
+        return expand(pattern)
+    text = ["".join(t + q for t, q in x) for x in pieces]
+    first = lambda gap, x: f"(?>.{gap[0]}?{x})"
+    ahead = "".join(first(g, x) for g, x in zip(["*", *gaps], text[:at]))
+    behind = "".join(first(g, x) for g, x in zip(gaps[at:], text[at + 1 :]))
+    return flags + (f"^{ahead}.{gaps[at - 1]}" if at else "") + text[at].replace(TAG, HOST) + behind

@@ -15,6 +15,7 @@ from turnstile.plans import views as V
 from turnstile.plans.catalogue import HOST, catalogue, expand, gate, patterns_of
 from turnstile.sources import lines as L
 from turnstile.sources import policy as P
+from turnstile.sources.tables import folder
 from turnstile.streaming import replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +96,43 @@ def line_hygiene(spark, sf):
     return extract.clean_lines(docs)
 
 
+_LONG = "SELECT doc_id AS seq, repeat(text, CASE WHEN doc_id % 10 = 0 THEN 30 ELSE 1 END) AS line FROM documents"
+
+
+@query(f"SELECT seq, regexp_replace(line, '\\s+$', '') AS line FROM ({_LONG}) d WHERE strlen(line) <= 65536")
+def clean_long_lines(spark, sf):
+    """Lines on both sides of the bound."""
+    return extract.clean_lines(V.read(spark, sf, _LONG, "documents"))
+
+
+@query(f"SELECT line FROM ({V.AUTH}) a")
+def log_files(spark, sf):
+    """The log as text files, read back."""
+    path = folder(spark, "log")
+    L.write_log(V.auth_log(spark, sf), path)
+    return L.read_log(spark, path).select("line")
+
+
+@query(f"SELECT CAST(seq AS VARCHAR) AS at, line FROM ({V.AUTH}) a WHERE contains(line, 'Failed') OR contains(line, 'Invalid')")
+def journal_files(spark, sf):
+    """A journal's JSON export as files, read back with field matches; entries without a message drop out."""
+    path = folder(spark, "journal")
+    unit = F.when(F.col("line").contains("Failed"), "ssh.service").when(F.col("line").contains("Invalid"), "sshd.service").otherwise("cron.service")
+    entries = V.auth_log(spark, sf).select(F.col("line").alias("MESSAGE"), F.col("seq").alias("__REALTIME_TIMESTAMP"), unit.alias("_SYSTEMD_UNIT"))
+    L.write_journal(entries.unionByName(entries.withColumn("MESSAGE", F.lit("  "))), path)
+    found = L.read_journal(spark, path, {"_SYSTEMD_UNIT": ["ssh.service", "sshd.service"]})
+    return found.select(F.col("__REALTIME_TIMESTAMP").alias("at"), "line")
+
+
+@query(O.MULTI + f" SELECT ip, jail, banned_at, coalesce(expires_at <= {T1}, false) AS expired FROM bans")
+def ban_table(spark, sf):
+    """Bans as a table, read back as live and expired ones."""
+    path = folder(spark, "bans")
+    multi_bans(spark, sf).write.parquet(path)
+    live, expired = L.read_bans(spark, path, T1)
+    return live.withColumn("expired", F.lit(False)).unionByName(expired.withColumn("expired", F.lit(True))).select("ip", "jail", "banned_at", "expired")
+
+
 _SPARSE = "SELECT CAST(s_suppkey AS VARCHAR) AS jail, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 9 END AS max_retry, CASE WHEN s_suppkey % 3 = 0 THEN 60 * s_suppkey END AS find_time, CASE WHEN s_suppkey % 5 = 0 THEN 'udp' END AS protocol, CASE WHEN s_suppkey % 7 = 0 THEN false END AS enabled FROM supplier"
 
 
@@ -202,14 +240,13 @@ _SPOOF = f"SELECT seq, replace(line, ' from ', ' from 1.1.1.1 port 1 from ') AS
 def extract_after_literal(spark, sf):
     """The address at the place of <HOST>, and the first one behind the literal, which would be a spoofed one."""
     df = extract.match(V.read(spark, sf, _SPOOF, "events"), FAILING)
-    return df.select("seq", F.regexp_extract("line", r" from ([0-9A-Fa-f.:]{2,})", 1).alias("first_ip"), "ip")
+    return df.select("seq", extract.address_behind(F.col("line"), " from ").alias("first_ip"), "ip")
 
 
 @query(f"SELECT seq, regexp_extract(line, 'user .* ([0-9.]+) port', 1) AS ip FROM ({V.AUTH}) a WHERE contains(line, 'Connection closed by authenticating')")
 def extract_before_literal(spark, sf):
     df = V.auth_log(spark, sf).filter(F.contains("line", F.lit("Connection closed by authenticating")))
-    before = F.split(F.substring_index("line", " port ", 1), r"[^0-9A-Fa-f.:]+")
-    return df.select("seq", F.get(F.filter(F.transform(F.reverse(before), addr.without_port), lambda x: x.isNotNull()), F.lit(0)).alias("ip"))
+    return df.select("seq", extract.address_ahead(F.col("line"), " port ").alias("ip"))
 
 
 _SERVICE = V.service_lines(False)
@@ -382,6 +419,12 @@ def policy_change(spark, sf):
     return before.select("ip", "jail", "banned_at", "ban_count")
 
 
+@query(O.CHANGED + f" SELECT {_BAN} FROM bans")
+def policy_versions(spark, sf):
+    """The timeline across a change of policies: one jail gets stricter, one has longer bans, one is taken out. Bans stay."""
+    return timeline.bans(multi_fails(spark, sf), [(0, V.JAILS), (T1, V.LATER)]).select(*_BAN.split(", "))
+
+
 @query(O.MULTI + f" SELECT ip, jail, banned_at, expires_at FROM bans WHERE banned_at <= {T1} AND (expires_at IS NULL OR expires_at > {T1}) AND jail <> 'sshd-strict'")
 def restore_bans(spark, sf):
     live, _ = L.split_bans(multi_bans(spark, sf).filter(F.col("banned_at") <= T1), T1)
@@ -506,6 +549,21 @@ def geo_asof_join(spark, sf):
     return enrich.geo_asof(fails(spark, sf), V.geo_net(spark, sf), ["country", "asn"]).select("ip", "seq", "country", "asn")
 
 
+@query(f"""SELECT seq, ip, CASE WHEN seq >= 0 THEN coalesce(n.n_name, 'WHOLE') WHEN n.n_nationkey % 2 = 0 AND b.user_id < 256 THEN concat(n.n_name, ' LAB') ELSE n.n_name END AS country
+FROM ({V.BOTH}) b LEFT JOIN nation n ON n.n_nationkey = CASE WHEN seq >= 0 THEN CAST(floor(b.user_id / 64) AS BIGINT) ELSE b.user_id % 32 END""")
+def geo_longest_prefix(spark, sf):
+    """Networks of both families within each other; the narrowest one counts."""
+    rows = V.read(spark, sf, V.BOTH, "events").select("seq", "ip")
+    return enrich.geo_prefix(rows, V.read(spark, sf, V.NETS, "nation"), ["country"])
+
+
+@query(f"SELECT seq, ip FROM ({V.BOTH}) b WHERE NOT coalesce(CASE WHEN seq >= 0 THEN b.user_id < 256 ELSE b.user_id % 32 IN (1, 2) END, false)")
+def allowlist_both_families(spark, sf):
+    rows = V.read(spark, sf, V.BOTH, "events").select("seq", "ip", F.lit("sshd").alias("jail"))
+    nets = spark.createDataFrame([(None, "10.20.0.0/24"), ("sshd", "2001:db8:1::/48"), ("other", "2001:db8:3::/48"), ("sshd", "2001:db8:2::/48"), (None, "no net")], "jail string, cidr string")
+    return extract.drop_allowed(rows, nets).select("seq", "ip")
+
+
 _LABEL = "CASE WHEN asn IS NOT NULL AND as_org IS NOT NULL THEN concat('AS', CAST(asn AS VARCHAR), ' (', as_org, ')') WHEN asn IS NOT NULL THEN concat('AS', CAST(asn AS VARCHAR)) ELSE as_org END"
 
 
@@ -712,4 +770,10 @@ def stream_bans(spark, sf):
     return replay.tracked(spark, sf).filter("kind = 'ban'").select("ip", "jail", "banned_at", "expires_at", "ban_count")
 
 
+@query(O.STANDARD + """ SELECT concat('{"event":"ban","ip":"', ip, '","jail":"', jail, '","ban_time":', CAST(ban_time AS VARCHAR), ',"timestamp":"', strftime(make_timestamp(banned_at * 1000000), '%Y-%m-%dT%H:%M:%S+00:00'), '"}') AS payload FROM bans""")
+def stream_feed(spark, sf):
+    """Notifications of the tracker's stream, written to files."""
+    return replay.fed(spark, sf)
+
+
 del HOST, Window

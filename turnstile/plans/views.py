@@ -15,6 +15,8 @@ JAILS = {
     "sshd-list": Policy(3, 86400, 3600, increment=True, multipliers=(1, 2, 4, 8), maxtime=7200),
     "sshd-strict": Policy(2, 21600, -1, restore=False),
 }
+#: What is valid from T1 on: one jail gets stricter, one longer bans, one is missing.
+LATER = {"sshd": Policy(2, 43200, 21600, increment=True), "sshd-list": Policy(3, 86400, 7200)}
 ALLOWED = [(None, "10.20.0.0/29"), (None, "::1/128"), ("sshd-list", "10.20.0.128/25")]
 
 
@@ -51,6 +53,15 @@ SELECT 4 AS family, 169082880 + 64 * CAST(n_nationkey AS BIGINT) AS lo_n, 169082
 FROM nation LEFT JOIN (
   SELECT s_nationkey, s_name AS as_org FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rn FROM supplier) s WHERE rn = 1
 ) o ON n_nationkey = o.s_nationkey"""
+#: Addresses of both families, and networks of both that lie within each other.
+BOTH = f"""
+SELECT event_id AS seq, user_id, {IP} AS ip FROM events
+UNION ALL SELECT -event_id - 1, user_id, concat('2001:db8:', lower(hex(user_id % 32)), '::', lower(hex(user_id))) FROM events"""
+NETS = """
+SELECT concat('10.20.', CAST(CAST(floor(n_nationkey / 4) AS BIGINT) AS VARCHAR), '.', CAST(64 * (n_nationkey % 4) AS VARCHAR), '/26') AS cidr, n_name AS country FROM nation
+UNION ALL SELECT '10.20.0.0/16', 'WHOLE' FROM nation WHERE n_nationkey = 0
+UNION ALL SELECT concat('2001:db8:', lower(hex(n_nationkey)), '::/48'), n_name FROM nation
+UNION ALL SELECT concat('2001:db8:', lower(hex(n_nationkey)), '::/120'), concat(n_name, ' LAB') FROM nation WHERE n_nationkey % 2 = 0"""
 #: Manual commands, from purchases: one in four unbans, the others ban; some name an unknown jail.
 COMMANDS = f"""
 SELECT CAST(floor(epoch_s) AS BIGINT) AS ts, event_id AS seq, CASE WHEN event_id % 4 = 0 THEN 'unban' ELSE 'ban' END AS cmd,

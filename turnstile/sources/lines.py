@@ -23,6 +23,16 @@ def read_journal(spark: SparkSession, path: str, matches: dict[str, list[str]])
     return journal_lines(spark.read.schema(", ".join(f"`{f}` string" for f in fields)).json(path), matches)
 
 
+def write_log(lines: DataFrame, path: str) -> None:
+    """Text files with a line for each row (line)."""
+    lines.select("line").write.option("lineSep", "\n").text(path)
+
+
+def write_journal(entries: DataFrame, path: str) -> None:
+    """A journal's JSON export: one object a line, fields as texts."""
+    entries.select(*[F.col(c).cast("string").alias(c) for c in entries.columns]).write.json(path)
+
+
 def journal_lines(entries: DataFrame, matches: dict[str, list[str]]) -> DataFrame:
     for field, values in matches.items():
         entries = entries.filter(F.col(field).isin(values))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.operators import extract
+from turnstile.operators import extract, reports
 from turnstile.plans import views as V
 from turnstile.plans.catalogue import patterns_of
 from turnstile.sources.tables import folder
@@ -19,10 +22,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """auth_log as a stream of the events table's files."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    # A stream reads folders or patterns; this one holds for a file as for a folder of parts.
-    events = spark.readStream.schema(schema).parquet(path + "*")
-    events.createOrReplaceTempView("turnstile_stream_events")
-    return spark.sql(V.spark_sql(V.AUTH).replace("FROM events", "FROM turnstile_stream_events"))
+    # A stream reads folders or patterns; this one holds for a file as for a folder of parts, and for no other name.
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    return spark.sql(V.spark_sql(V.AUTH).replace("FROM events", "FROM {events}"), events=events)
 
 
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +43,38 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(failures(spark, sf_dir), spark)
 
 
-def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here keep their state with PROVIDER."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, PROVIDER)
     try:
-        events = failures(spark, sf_dir).select("ip", "jail", "ts", "seq", F.lit("failure").alias("kind"))
-        return run(track(events, V.STANDARD), spark)
+        yield
     finally:
         spark.conf.set(key, before)
+
+
+def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with state_store(spark):
+        events = failures(spark, sf_dir).select("ip", "jail", "ts", "seq", F.lit("failure").alias("kind"))
+        return run(track(events, V.STANDARD), spark)
+
+
+def feed(changes: DataFrame, path: str, checkpoint: str) -> None:
+    """A stream of changes (kind, ip, jail, banned_at, ban_time) to text files of notifications, until all of it has been read.
+
+    Files are committed once per batch, so a consumer that delivers them further sees each notification once.
+    """
+    named = changes.filter("kind IN ('ban', 'unban')").withColumn("ts", F.col("banned_at"))
+    lines = reports.payloads(named, sorted(V.STANDARD)).select("payload")
+    lines.writeStream.format("text").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start().awaitTermination()
+
+
+def fed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notifications of the tracker's stream, as its files have them."""
+    base = folder(spark, "feed")
+    with state_store(spark):
+        events = failures(spark, sf_dir).select("ip", "jail", "ts", "seq", F.lit("failure").alias("kind"))
+        feed(track(events, V.STANDARD), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.text(f"{base}/out").withColumnRenamed("value", "payload")
