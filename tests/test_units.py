@@ -103,3 +103,24 @@ def test_line_hygiene_keeps_lines_up_to_65536_bytes(spark, tmp_path):
     rows = [(n, "x" * n) for n in (4096, 4097, 65536, 65537)] + [(1, "é" * 32768), (2, "é" * 32768 + "x")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["seq"] for r in QUERIES["line_hygiene"](spark, str(tmp_path)).collect()} == {4096, 4097, 65536, 1}
+
+
+def test_rings_of_jails_that_are_taken_out_are_dropped_and_bans_stay(spark):
+    # j is missing from 100 to 200; b's ban lasts over that time.
+    rows = [("a", "j", 10), ("a", "j", 150), ("a", "j", 210), ("a", "j", 220), ("b", "j", 20), ("b", "j", 21), ("b", "j", 210), ("b", "j", 220), ("c", "k", 90), ("c", "k", 110)]
+    f = spark.createDataFrame([(*r, i, 0, False) for i, r in enumerate(rows)], "ip string, jail string, ts long, seq long, pattern_idx int, ts_inferred boolean")
+    j, k = Policy(2, 1000, 500), Policy(2, 1000, 500)
+    out = {(r["ip"], r["jail"], r["banned_at"]) for r in timeline.bans(f, [(0, {"j": j, "k": k}), (100, {"k": k}), (200, {"j": j, "k": k})]).collect()}
+    assert out == {("b", "j", 21), ("a", "j", 220), ("c", "k", 110)}
+
+
+def test_nested_networks_of_both_families(spark):
+    from turnstile.operators import enrich
+
+    nets = spark.createDataFrame([("10.0.0.0/8", "wide"), ("10.1.0.0/16", "mid"), ("10.1.2.0/24", "narrow"), ("2001:db8::/32", "six"), ("2001:db8:0:1::/64", "six-narrow"), ("::/0", "all"), ("bad", "bad")], "cidr string, country string")
+    want = {"10.9.9.9": "wide", "10.1.9.9": "mid", "10.1.2.3": "narrow", "11.0.0.1": None, "2001:db8::1": "six", "2001:db8:0:1::1": "six-narrow", "fe80::1": "all"}
+    rows = spark.createDataFrame([(a,) for a in [*want, "10.1.2.3"]], "ip string")
+    assert sorted((r["ip"], str(r["country"])) for r in enrich.geo_prefix(rows, nets, ["country"]).collect()) == sorted((a, str(want[a])) for a in [*want, "10.1.2.3"])
+    ranges = spark.createDataFrame([(0x0A000000, 0x0AFFFFFF, "wide"), (0x0A010000, 0x0A01FFFF, "mid")], "lo_n long, hi_n long, country string")
+    found = enrich.geo_range(rows.filter("ip LIKE '10%'"), ranges).collect()
+    assert sorted((r["ip"], r["country"]) for r in found) == [("10.1.2.3", "mid"), ("10.1.2.3", "mid"), ("10.1.9.9", "mid"), ("10.9.9.9", "wide")]

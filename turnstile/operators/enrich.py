@@ -1,4 +1,7 @@
-"""Networks of addresses: country, ASN, organisation."""
+"""Networks of addresses: country, ASN, organisation.
+
+Rows are read twice, for their addresses and for themselves, so they are written first: lines are then matched once.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +22,7 @@ def geo_prefix(rows: DataFrame, nets: DataFrame, fields: list[str]) -> DataFrame
 
     Only distinct addresses look for networks, by the prefix lengths that there are.
     """
+    rows = written(rows, "rows")
     known = written(addr.with_range(nets.select("cidr", *fields), "cidr"), "networks")
     found = holding(rows.select("ip").distinct(), known).groupBy("ip").agg(F.max_by(F.struct(*fields), F.struct("bits", "cidr")).alias("_net"))
     found = found.select(F.col("ip").alias("_ip"), "_net")
@@ -31,6 +35,7 @@ def geo_range(rows: DataFrame, nets: DataFrame) -> DataFrame:
     Ranges are dealt by the address blocks they touch, so they are compared within a block only. ``geo_prefix`` takes
     networks of both families.
     """
+    rows = written(rows, "rows")
     fields = [c for c in nets.columns if c not in ("lo_n", "hi_n")]
     first, last = F.shiftright("lo_n", 32 - BUCKET), F.shiftright("hi_n", 32 - BUCKET)
     dealt = nets.withColumn("_block", F.explode(F.sequence(first, last)))
@@ -47,6 +52,7 @@ def geo_asof(rows: DataFrame, nets: DataFrame, fields: list[str]) -> DataFrame:
     Only distinct addresses are sorted, by block; a network's beginning is put into every block it touches.
     """
     first, last = F.shiftright("lo_n", 32 - BUCKET), F.shiftright("hi_n", 32 - BUCKET)
+    rows = written(rows, "rows")
     ends = nets.select(F.explode(F.sequence(first, last)).alias("_block"), F.struct("lo_n", "hi_n", *fields).alias("_net"))
     ends = ends.select("_block", F.greatest(F.col("_net.lo_n"), F.shiftleft("_block", 32 - BUCKET)).alias("_n"), F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_ip"), "_net")
     ips = rows.select(F.col("ip").alias("_ip")).distinct().withColumn("_n", addr.v4_number(F.col("_ip"))).filter("_n IS NOT NULL")

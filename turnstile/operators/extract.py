@@ -106,12 +106,14 @@ def holding(ips: DataFrame, nets: DataFrame) -> DataFrame:
 
 def drop_allowed(failures: DataFrame, allowed: DataFrame) -> DataFrame:
     """Failures whose address no allow-list network of their jail (or of all jails) holds."""
+    failures = written(failures, "failures")  # read twice, matched once
     held = holding(failures.select("ip").distinct(), networks(allowed)).select(F.col("ip").alias("_ip"), F.col("jail").alias("_jail")).distinct()
     return failures.join(held, (F.col("ip") == F.col("_ip")) & (F.col("_jail").isNull() | (F.col("_jail") == F.col("jail"))), "left_anti")
 
 
 def in_networks(rows: DataFrame, cidrs: DataFrame) -> DataFrame:
     """Rows whose ip lies in any of the networks."""
+    rows = written(rows, "rows")
     held = holding(rows.select("ip").distinct(), networks(cidrs)).select(F.col("ip").alias("_ip")).distinct()
     return rows.join(held, F.col("ip") == F.col("_ip"), "left_semi")
 

@@ -278,6 +278,11 @@ def steady(pattern: str) -> str:
     flags = ""
     if atoms and atoms[0][0].startswith("(?") and atoms[0][0].strip("(?)").isalpha():
         flags, atoms = atoms[0][0], atoms[1:]
+    # Some n fields and then more of the pattern: as a match may begin anywhere, that is n fields or more from the start.
+    fields, lead = re.fullmatch(r"\(\?:\[\^(\\?.)\]\*\\?(.)\)", atoms[0][0]), ""
+    if fields and fields[1][-1] == fields[2] and re.fullmatch(r"\{\d+\}", atoms[0][1]):
+        lead = f"^{atoms[0][0].replace('*', '*+', 1)}{atoms[0][1][:-1]},}}?"
+        atoms = atoms[1:]
     pieces: list[list[tuple[str, str]]] = [[]]
     gaps = []
     for text, times in atoms:
@@ -290,10 +295,10 @@ def steady(pattern: str) -> str:
     atomic = [x for i, x in enumerate(pieces) if i != at]
     # A part that ends in a repeated character could take what the next one begins with.
     open_ended = [x for i, x in enumerate(pieces[:-1]) if i != at and (not x or x[-1][1])]
-    if open_ended or not all(_plain(t, q) for x in pieces for t, q in x) or not atomic:
+    if open_ended or not all(_plain(t, q) for x in pieces for t, q in x) or not atomic or lead and at:
         return expand(pattern)
     text = ["".join(t + q for t, q in x) for x in pieces]
     first = lambda gap, x: f"(?>.{gap[0]}?{x})"
     ahead = "".join(first(g, x) for g, x in zip(["*", *gaps], text[:at]))
     behind = "".join(first(g, x) for g, x in zip(gaps[at:], text[at + 1 :]))
-    return flags + (f"^{ahead}.{gaps[at - 1]}" if at else "") + text[at].replace(TAG, HOST) + behind
+    return flags + (f"^{ahead}.{gaps[at - 1]}" if at else lead) + text[at].replace(TAG, HOST) + behind
