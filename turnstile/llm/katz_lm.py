@@ -41,6 +41,8 @@ from .common import partitions, stored
 #: Counts up to CUT are discounted; a block has up to BLOCK tokens (or one document).
 CUT, BLOCK, HOT_SHARE = 5, 1 << 22, 4
 FOLDS, HELD = 7, 2
+#: Ids are packed as 32 bits and paired in 63; a larger vocabulary is an error, never a wrong number.
+MOST_WORDS = (1 << 31) - 2
 #: The word that ends a text; no word has white space.
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 
@@ -339,6 +341,8 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> Da
     words = dealt.join(sizes, "part").select("word", (F.col("_before") + F.col("at") + 1).alias("id"))
     steps = dealt.groupBy("c").agg(F.count(F.lit(1)).alias("types")).toPandas()
     uni = Unigrams(steps["c"].to_numpy(dtype=np.int64), steps["types"].to_numpy(dtype=np.int64))
+    if steps["types"].sum() >= MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words: their ids no longer fit")
     ends = dealt.filter(F.col("word") == int(END.view(np.int64))).select("c").first()
     uni.ends = int(ends["c"]) if ends else 0
     back = local.select("block", "at", "word").join(words, "word").select("block", "at", "id")
