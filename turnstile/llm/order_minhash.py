@@ -118,27 +118,28 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     ids = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("text")).cast("long").alias("n_chars"))
     ids = stored(neighbours(ids), "order-ids")
     # One row for equal rows; each sends its beginning to the document before it.
-    # An id and a hash of the text, so that rows are mixed up only where both are the same.
-    own = lambda i, k: F.struct(F.coalesce(F.col(i), F.lit(0)).alias("id"), F.col(i).isNull().alias("none"), F.col(k).alias("key"))
-    spot = own("doc_id", "key")
-    whole = rows.select(spot.alias("spot"), "text").groupBy("spot").agg(F.first("text").alias("text"))
-    known = ids.select(spot.alias("spot"), "copies", "n_chars", own("prev_doc_id", "prev_key").alias("prev_spot"), "prev_n_chars")
-    whole = whole.join(known, "spot")
+    # A row is known by two hashes, of its text and of its id with that; all that follows is dealt by both.
+    spot = lambda i, k: F.xxhash64(F.col(i).isNull(), i, k)
+    at = ["spot", "key"]
+    whole = rows.select(spot("doc_id", "key").alias("spot"), "key", "text").groupBy(*at).agg(F.first("text").alias("text"))
+    known = ids.select(spot("doc_id", "key").alias("spot"), "key", "copies", "n_chars", spot("prev_doc_id", "prev_key").alias("prev_spot"), "prev_key", "prev_n_chars")
+    whole = whole.join(known, at)
     third = lambda c: F.floor(F.col(c) / 3).cast("int")
-    heads = whole.select(F.col("prev_spot").alias("spot"), F.substring("text", F.lit(1), third("prev_n_chars")).alias("head"))
-    both = whole.join(heads, "spot")
+    heads = whole.select(F.col("prev_spot").alias("spot"), F.col("prev_key").alias("key"), F.substring("text", F.lit(1), third("prev_n_chars")).alias("head"))
+    both = whole.join(heads, at)
     stay = F.substring("text", F.lit(1), (F.col("n_chars") - third("n_chars")).cast("int"))
     edited = F.concat(stay, F.col("head"))
     again = F.concat(stay, F.substring("text", F.lit(1), third("n_chars")))
     form = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("text"))
     forms = F.when(F.col("copies") > 1, F.array(form(OWN, F.col("text")), form(EDITED, edited), form(SELF, again))).otherwise(F.array(form(OWN, F.col("text")), form(EDITED, edited)))
-    forms = both.select("spot", F.explode(forms).alias("_f")).select("spot", "_f.kind", "_f.text")
-    forms = forms.select("spot", "kind", "text", F.when(F.col("kind") != OWN, F.sha2("text", 256)).alias("sha"))
-    prints = stored(signatures(forms, ["spot", "kind"], "text", "sha"), "order-prints")
-    of = lambda kind, name: prints.filter(F.col("kind") == kind).select(F.col("spot").alias(f"{name}_spot"), F.col("signatures").alias(name), F.col("sha").alias(f"{name}_sha"))
-    out = ids.select("doc_id", "copies", "n_chars", spot.alias("spot"), own("next_doc_id", "next_key").alias("next"))
-    out = out.join(of(OWN, "own"), F.col("spot") == F.col("own_spot")).join(of(EDITED, "edited"), F.col("spot") == F.col("edited_spot"))
-    out = out.join(of(OWN, "other"), F.col("next") == F.col("other_spot")).join(of(SELF, "self"), F.col("spot") == F.col("self_spot"), "left")
+    forms = both.select(*at, F.explode(forms).alias("_f")).select(*at, "_f.kind", "_f.text")
+    forms = forms.select(*at, "kind", "text", F.when(F.col("kind") != OWN, F.sha2("text", 256)).alias("sha"))
+    prints = stored(signatures(forms, [*at, "kind"], "text", "sha"), "order-prints")
+    of = lambda kind, name: prints.filter(F.col("kind") == kind).select(F.col("spot").alias(f"{name}_spot"), F.col("key").alias(f"{name}_key"), F.col("signatures").alias(name), F.col("sha").alias(f"{name}_sha"))
+    is_ = lambda name, by: (F.col(f"{name}_spot") == F.col(by[0])) & (F.col(f"{name}_key") == F.col(by[1]))
+    out = ids.select("doc_id", "copies", "n_chars", spot("doc_id", "key").alias("spot"), "key", spot("next_doc_id", "next_key").alias("next"), "next_key")
+    out = out.join(of(OWN, "own"), is_("own", at)).join(of(EDITED, "edited"), is_("edited", at))
+    out = out.join(of(OWN, "other"), is_("other", ["next", "next_key"])).join(of(SELF, "self"), is_("self", at), "left")
     last = out.select("doc_id", "n_chars", F.col("edited_sha").alias("edited_sha256"), "own", "edited", "other")
     copies = out.filter("copies > 1").select("doc_id", "n_chars", F.col("self_sha").alias("edited_sha256"), "own", F.col("self").alias("edited"), F.col("own").alias("other"), F.explode(F.sequence(F.lit(2).cast("long"), F.col("copies"))).alias("_n")).drop("_n")
     out = last.unionByName(copies)
