@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import addressable_codes, katz_lm, mix_sources, near_dedup, order_minhash, pieces, quality_mcd, sentence_spans, transcripts, url_filter
+from . import addressable_codes, katz_lm, mix_sources, near_dedup, order_minhash, periodic_runs, pieces, quality_mcd, sentence_spans, transcripts, url_filter
 from .common import table
 from .vocabulary import piece_model, word_model
 
@@ -52,6 +52,12 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.clean_table(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    varied = docs.withColumn("text", periodic_runs.periodic_text(F.col("doc_id"), F.col("text")))
+    return periodic_runs.digest(periodic_runs.scan_documents(varied))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op8_transcripts": op8_transcripts,
     "op9_mix_sources": op9_mix_sources,
     "op10_sentence_spans": op10_sentence_spans,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": pipeline,
 }
 ORACLES = {"op9_mix_sources": mix_sources.ORACLE}
