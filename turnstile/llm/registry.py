@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import addressable_codes, katz_lm, mix_sources, near_dedup, order_minhash, periodic_runs, pieces, quality_mcd, sentence_spans, transcripts, url_filter
+from . import addressable_codes, curve_packing, katz_lm, mix_sources, near_dedup, order_minhash, periodic_runs, pieces, quality_mcd, sentence_spans, transcripts, url_filter
 from .common import table
-from .vocabulary import piece_model, word_model
+from .vocabulary import byte_model, piece_model, word_model
 
 
 def op1_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.scan_documents(varied))
 
 
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.digest(curve_packing.pack_documents(table(spark, sf_dir, "documents"), byte_model()))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_sentence_spans": op10_sentence_spans,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_curve_packing": op12_curve_packing,
     "pipeline": pipeline,
 }
 ORACLES = {"op9_mix_sources": mix_sources.ORACLE}
