@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import addressable_codes, curve_packing, katz_lm, mix_sources, near_dedup, order_minhash, periodic_runs, pieces, quality_mcd, sentence_spans, transcripts, url_filter
+from . import addressable_codes, curve_packing, katz_lm, mix_sources, near_dedup, order_minhash, periodic_runs, phrase_stripes, pieces, quality_mcd, sentence_spans, transcripts, url_filter
 from .common import table
 from .vocabulary import byte_model, piece_model, word_model
 
@@ -62,6 +62,10 @@ def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_packing.digest(curve_packing.pack_documents(table(spark, sf_dir, "documents"), byte_model()))
 
 
+def op13_phrase_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_stripes.top_phrases(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op10_sentence_spans": op10_sentence_spans,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_curve_packing": op12_curve_packing,
+    "op13_phrase_stripes": op13_phrase_stripes,
     "pipeline": pipeline,
 }
-ORACLES = {"op9_mix_sources": mix_sources.ORACLE}
+ORACLES = {"op9_mix_sources": mix_sources.ORACLE, "op13_phrase_stripes": phrase_stripes.ORACLE}
