@@ -28,7 +28,7 @@ def test_the_curve_meets_every_point_once_and_steps_by_one(axes, bits):
 def test_parts_give_the_librarys_ids():
     codes, library, rnd = curve_packing.SpacedIds(byte_model()), Tokenizer.from_file(byte_model()), random.Random(2)
     assert codes.by_words and not curve_packing.SpacedIds(word_model()).by_words
-    parts = [" ", " ", "  ", "a", "b'll", "'s", "É", "é", "12", "\n", "\t", " ", "　", "\x1c", "\x85", ".", ",", "<|endoftext|>", "<|", "漢", "x"]
+    parts = [" ", " ", "  ", "a", "b'll", "'s", "É", "é", "12", "\n", "\t", " ", "　", "\x1c", "\x85", ".", ",", "<|endoftext|>", "<|", "漢", "x", " ab.\nDe", " q%%%", "\nÉa", " Straße,", " naïve..", "ÀÿŁ", "×", " a", "b!", "ſ"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(4000)]
     ids, sizes = codes(texts)
     ends = np.cumsum(sizes)

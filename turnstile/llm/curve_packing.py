@@ -18,6 +18,7 @@ packed one by one. Equal places go by id, then by a hash of the ids. Extra colum
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,19 +43,27 @@ ROWS = 256
 class SpacedIds(WordIds):
     """Ids of parts of a text that begin with a blank ahead of what is no white space; each is encoded once while remembered.
 
-    A byte-level vocabulary that splits by its usual pattern always begins a token there, so a text's ids are its parts' ids in
-    a row. Vocabularies with other rules encode whole texts.
+    A byte-level vocabulary that splits by its usual pattern always begins a token there, so a text's ids are its parts' ids in a
+    row. New parts are encoded all in one string, by rank where the vocabulary's numbers follow its merges (the first parts of each
+    worker are held against the library, which else takes over); where a part ends shows in the bytes of the ids. Parts of another
+    form, or with a special token in them, go to the library one by one. Vocabularies with other rules encode whole texts.
     """
 
-    CROWDED = re.compile(r" (?=\s|\Z)")
-    AT = re.compile(r"(?= \S)")
+    CROWDED = re.compile(r" \s")
+    PART = re.compile(r"(?s:.)[^ ]*(?: (?!\S)[^ ]*)*")
+    # Fixed value: how such a vocabulary splits a text.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: Parts of a worker that are held against the library.
+    HELD = 2000
 
     def __init__(self, model: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads that wait for work would spin on others'
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model)
         spec = json.loads(self.tokenizer.to_str())
         splits, kind = spec.get("pre_tokenizer") or {}, spec["model"]
+        self.special = [t["content"] for t in spec["added_tokens"]]
         # The rules of a vocabulary whose texts may be encoded part by part.
         self.by_words = (
             spec.get("normalizer") is None and (splits.get("type"), splits.get("add_prefix_space"), splits.get("use_regex")) == ("ByteLevel", False, True)
@@ -62,20 +71,62 @@ class SpacedIds(WordIds):
             and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         )
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.ranks = self._ranks(kind) if self.by_words else None
         self.forget()
 
+    def _ranks(self, kind: dict):
+        """An encoder by rank, and the bytes of each id; none if numbers do not follow merges."""
+        # Bytes that print stand for themselves; the others are written as the next characters from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        made = [kind["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in kind["merges"]]
+        if len(kind["vocab"]) != 256 + len(made) or any(a >= b for a, b in zip(made, made[1:])) or not set("".join(kind["vocab"])) <= set(byte):
+            return None
+        import tiktoken
+
+        ranks = {bytes(byte[c] for c in token): i for token, i in kind["vocab"].items()}
+        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths[list(ranks.values())] = [len(t) for t in ranks]
+        return tiktoken.Encoding("parts", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={})
+
     def words(self, text: str) -> list[str]:
-        if self.CROWDED.search(text):
-            return [x for x in self.AT.split(text) if x]
+        if text[-1:] == " " or self.CROWDED.search(text):
+            return self.PART.findall(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
+    def _library(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts in a row, and their number in each part."""
+        return self.whole(parts) if parts else (np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of parts that begin with a blank, from one string."""
+        text = "".join(parts)
+        ids = np.array(self.ranks.encode_ordinary(text), np.uint32)
+        ends = np.cumsum([len(x.encode()) for x in parts])
+        upto = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+        return ids, np.diff(upto, prepend=0)
+
     def learn(self) -> None:
         new = self.code.new
-        for found in self.tokenizer.encode_batch_fast(new, add_special_tokens=False):
-            self.starts.append(len(self.flat))
-            self.sizes.append(len(found.ids))
-            self.flat.extend(found.ids)
+        fit = np.array([x[0] == " " and not x[1:2].isspace() for x in new]) & (self.ranks is not None)
+        if any(t in "".join(new) for t in self.special):
+            fit &= np.array([not any(t in x for t in self.special) for x in new])
+        plain = [x for x, f in zip(new, fit.tolist()) if f]
+        if plain and self.HELD:
+            some = plain[: self.HELD]
+            if any(a.tolist() != b.tolist() for a, b in zip(self._joined(some), self._library(some))):
+                self.ranks, plain = None, []
+                fit[:] = False
+            self.HELD -= len(some)
+        sizes, at = np.zeros(len(new), np.int64), len(self.flat)
+        starts = np.zeros(len(new), np.int64)
+        for own, (ids, n) in ((fit, self._joined(plain) if plain else self._library([])), (~fit, self._library([x for x, f in zip(new, fit.tolist()) if not f]))):
+            sizes[own], starts[own] = n, at + np.cumsum(n) - n
+            self.flat.frombytes(ids.astype(np.uint32).tobytes())
+            at += len(ids)
+        self.sizes.frombytes(sizes.tobytes())
+        self.starts.frombytes(starts.tobytes())
         self.held += 2 * sum(map(len, new)) + 200 * len(new)
         self.code.new = []
 
@@ -87,7 +138,7 @@ def spaced_ids(model: str) -> SpacedIds:
 
 @lru_cache(maxsize=1)
 def projection() -> np.ndarray:
-    return np.random.default_rng(12).standard_normal((DIMS, AXES)).astype(np.float32)
+    return np.random.default_rng(12).standard_normal((DIMS, AXES))
 
 
 def grid_points(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -98,8 +149,9 @@ def grid_points(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     doc = np.repeat(np.arange(len(sizes)), sizes)
     sums = np.bincount(doc * DIMS + bucket, weights=sign, minlength=len(sizes) * DIMS).reshape(len(sizes), DIMS)
     vectors = np.sign(sums) * np.sqrt(np.abs(sums))
-    length = np.linalg.norm(vectors, axis=1, keepdims=True)
-    z = (vectors / np.where(length == 0, 1, length)).astype(np.float32) @ projection()
+    length = np.sqrt(np.abs(sums).sum(1, keepdims=True))
+    # Not as a matrix product, whose library would start threads beside the task's.
+    z = np.einsum("ij,jk->ik", vectors / np.where(length == 0, 1, length), projection())
     return np.minimum((0.5 + 0.5 * np.tanh(0.8 * z)) * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
 
 
