@@ -1,40 +1,69 @@
 """Streams: timers, a starting state, and live snapshots, on files that land one by one."""
 
-from pyspark.sql import functions as F
-
+from turnstile.operators import timeline
 from turnstile.operators.timeline import Policy
 from turnstile.sources.lines import follow_log
-from turnstile.streaming import replay, tracker
+from turnstile.streaming import replay, snapshots, tracker
 
 EVENTS = "ip string, jail string, ts long, seq long, kind string"
-KEY = "spark.sql.streaming.stateStore.providerClass"
 
 
-def streamed(spark, tmp_path, rows, timers=False, initial=None):
+def streamed(spark, tmp_path, rows, delay="0 seconds", initial=None, policies=None, keep_counts=None, end=True):
+    """The changes of rows that land part by part, and the rows of state after each batch. A failure far ahead moves the watermark on."""
     folder = str(tmp_path / "in")
-    for i, part in enumerate(rows):
+    for i, part in enumerate([*rows, [("end", "j", 10**7, 0, "failure")]] if end else rows):
         spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(f"{folder}/p{i}")
     df = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
-    df = df.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", "0 seconds")
-    before = spark.conf.get(KEY)
-    spark.conf.set(KEY, replay.PROVIDER)
-    try:
-        return replay.run(tracker.track(df, {"j": Policy(2, 100, 50)}, initial, timers), spark).collect()
-    finally:
-        spark.conf.set(KEY, before)
+    with replay.state_store(spark):
+        out = tracker.track(df, policies or {"j": Policy(2, 100, 50)}, initial, delay, keep_counts)
+        q = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    return spark.read.schema(tracker.OUTPUT).parquet(str(tmp_path / "out")).collect(), state
 
 
 def test_commands_and_expiry_timers(spark, tmp_path):
-    rows = [[("a", "j", 10, 1, "failure"), ("a", "j", 20, 2, "failure"), ("b", "j", 20, 3, "ban"), ("b", "j", 21, 4, "unban"), ("c", "x", 22, 5, "ban")], [("z", "j", 100000, 6, "failure")], [("z", "j", 200000, 7, "failure")]]
-    out = {(r["kind"], r["ip"], r["banned_at"]) for r in streamed(spark, tmp_path, rows, timers=True)}
-    assert {("ban", "a", 20), ("ban", "b", 20), ("unban", "b", 21), ("reject", "c", 22), ("unban", "a", 70)} <= out
+    rows = [[("a", "j", 10, 1, "failure"), ("a", "j", 20, 2, "failure"), ("b", "j", 20, 3, "ban"), ("b", "j", 21, 4, "unban"), ("c", "x", 22, 5, "ban")]]
+    out = {(r["kind"], r["ip"], r["banned_at"], r["manual"]) for r in streamed(spark, tmp_path, rows)[0]}
+    assert out == {("ban", "a", 20, False), ("ban", "b", 20, True), ("unban", "b", 21, True), ("reject", "c", 22, True), ("unban", "a", 70, False)}
 
 
 def test_starting_state(spark, tmp_path):
-    start = spark.createDataFrame([("a", "j", None, 4)], "ip string, jail string, expires_at long, ban_count int")
-    rows = [[("a", "j", 10, 1, "failure"), ("a", "j", 20, 2, "failure"), ("b", "j", 10, 3, "failure"), ("b", "j", 11, 4, "failure")]]
-    out = [(r["kind"], r["ip"]) for r in streamed(spark, tmp_path, rows, initial=start)]
-    assert out == [("ban", "b")]
+    start = spark.createDataFrame([("a", "j", None, 4), ("c", "j", 15, 1)], "ip string, jail string, expires_at long, ban_count int")
+    rows = [[("a", "j", 10, 1, "failure"), ("a", "j", 20, 2, "failure"), ("b", "j", 10, 3, "failure"), ("b", "j", 11, 4, "failure"), ("c", "j", 12, 5, "failure"), ("c", "j", 15, 6, "failure"), ("c", "j", 16, 7, "failure")]]
+    out = sorted((r["kind"], r["ip"], r["banned_at"], r["ban_count"]) for r in streamed(spark, tmp_path, rows, initial=start)[0])
+    assert out == [("ban", "b", 11, 1), ("ban", "c", 16, 2), ("unban", "b", 61, 1), ("unban", "c", 15, 1), ("unban", "c", 66, 2)]
+
+
+def test_rows_wait_for_earlier_ones_within_the_delay(spark, tmp_path):
+    # In the order in which they land nothing spans less than 100 but out of order; by time 900 and 950 do, and 1500 is alone.
+    rows = [[("a", "j", 1500, 1, "failure"), ("b", "j", 1400, 9, "failure")], [("a", "j", 900, 2, "failure")], [("a", "j", 950, 3, "failure")]]
+    out, _ = streamed(spark, tmp_path, rows, "1000 seconds")
+    assert [(r["kind"], r["banned_at"], r["seq"]) for r in sorted(out, key=lambda r: r["banned_at"])] == [("ban", 950, 3), ("unban", 1000, None)]
+
+
+def test_state_stays_flat_under_ever_new_addresses(spark, tmp_path):
+    rows = [[(f"10.{k}.0.{i}", "j", 1000 * k + i, 100 * k + i, "failure") for i in range(50)] for k in range(1, 5)]
+    rows[1] += [("again", "j", 2000, 1, "failure"), ("again", "j", 2001, 2, "failure")]
+    out, state = streamed(spark, tmp_path, rows)
+    assert [(r["kind"], r["ip"]) for r in sorted(out, key=lambda r: r["banned_at"])] == [("ban", "again"), ("unban", "again")]
+    # A part's addresses wait (a row each for the address, what waits, and what the store counts of either); those before are gone.
+    assert max(state) <= 2.5 * max(state[:2]) and state[-1] <= 12
+
+
+def test_ban_numbers_stay_unless_given_up(spark, tmp_path):
+    rows = [[("a", "j", t, t, "failure") for t in (10, 20)], [("a", "j", t, t, "failure") for t in (5000, 5001)]]
+    assert sorted(r["ban_count"] for r in streamed(spark, tmp_path / "y", rows)[0] if r["kind"] == "ban") == [1, 2]
+    assert sorted(r["ban_count"] for r in streamed(spark, tmp_path / "z", rows, keep_counts=1000)[0] if r["kind"] == "ban") == [1, 1]
+
+
+def test_policies_by_time_drop_rings_of_missing_jails(spark, tmp_path):
+    policies = [(0, {"j": Policy(2, 10**6, 50), "k": Policy(2, 10**6, -1)}), (1000, {"j": Policy(3, 10**6, 7)}), (2000, {"j": Policy(3, 10**6, 7), "k": Policy(2, 10**6, -1)})]
+    rows = [[("a", "j", 10, 1, "failure"), ("a", "k", 11, 2, "failure")], [("a", "j", 1010, 3, "failure"), ("a", "k", 1011, 4, "failure"), ("a", "j", 1012, 5, "failure")], [("a", "k", 2010, 6, "failure"), ("a", "k", 2011, 7, "failure")]]
+    out = sorted((r["banned_at"], r["jail"], r["ban_time"]) for r in streamed(spark, tmp_path, rows, policies=policies)[0] if r["kind"] == "ban")
+    assert out == [(1012, "j", 7), (2011, "k", -1)]
+    flat = spark.createDataFrame([r for part in rows for r in part], EVENTS)
+    assert sorted((r["banned_at"], r["jail"], r["ban_time"]) for r in timeline.bans(flat, policies, None).collect()) == out
 
 
 def test_followed_files_and_snapshots(spark, tmp_path):
@@ -43,11 +72,31 @@ def test_followed_files_and_snapshots(spark, tmp_path):
         (tmp_path / "log" / f"chunk-{i}").write_text(f"line {i}\r\nother {i}\n")
     rows = replay.run(follow_log(spark, str(tmp_path / "log"), 1).select("line"), spark).collect()
     assert sorted(r["line"] for r in rows) == sorted([f"line {i}\r" for i in range(3)] + [f"other {i}" for i in range(3)])
-    write = tracker.save_snapshot(str(tmp_path / "live"))
-    frame = lambda *r: spark.createDataFrame(r, tracker.OUTPUT)
-    write(frame(("ban", "a", "j", 1, 5, 4, 1, False, 1), ("ban", "b", "j", 2, 6, 4, 1, False, 2)), 0)
-    write(frame(("unban", "a", "j", 3, None, None, 1, True, 3)), 1)
-    assert {(r["ip"], r["kind"]) for r in spark.read.parquet(str(tmp_path / "live/v=1")).collect()} == {("a", "unban"), ("b", "ban")}
+
+
+def test_snapshots_cost_what_a_batch_holds(spark, tmp_path):
+    live = snapshots.Snapshots(spark, str(tmp_path / "live"), every=3)
+    write, schema = live.writer(), spark.createDataFrame([], tracker.OUTPUT).schema
+    frame = lambda *r: spark.createDataFrame(r, schema)
+    assert live.current(schema).count() == 0
+    batches = [
+        [("ban", "a", "j", 1, 5, 4, 1, False, 1), ("ban", "b", "j", 2, 6, 4, 1, False, 2)],
+        [("unban", "a", "j", 3, None, None, 1, True, 3), ("reject", "a", "j", 9, None, None, 1, True, 4)],
+        [("unban", "b", "j", 6, None, None, 1, False, None), ("ban", "b", "j", 6, 10, 4, 2, False, 5)],
+        [("ban", "c", "j", 7, 9, 2, 1, False, 6)],
+    ]
+    want, newest = [], {}
+    for epoch, rows in enumerate(batches):
+        write(frame(*rows), epoch)
+        newest |= {(r[1], r[2]): (r[0], r[3]) for r in sorted(rows, key=lambda r: (r[3], r[8] or -1)) if r[0] != "reject"}
+        want.append(dict(newest))
+        assert {(r.ip, r.jail): (r.kind, r.banned_at) for r in live.current(schema).collect()} == newest
+    assert sorted(x.name for x in (tmp_path / "live").iterdir() if x.is_dir()) == ["base-2", "delta-3"]
+    # A batch that runs again changes nothing, be it in a base or behind it; a base that is not whole is not read.
+    write(frame(*batches[1]), 1)
+    write(frame(*batches[3]), 3)
+    (tmp_path / "live" / "base-9").mkdir()
+    assert {(r.ip, r.jail): (r.kind, r.banned_at) for r in live.current(schema).collect()} == want[-1]
 
 
 def test_restart_from_the_checkpoint_keeps_rings_and_bans(spark, tmp_path):
@@ -56,7 +105,7 @@ def test_restart_from_the_checkpoint_keeps_rings_and_bans(spark, tmp_path):
 
     def go():
         df = spark.readStream.schema(EVENTS).parquet(f"{tmp_path}/in/*")
-        out = tracker.track(df, {"j": Policy(3, 100, 50)})
+        out = tracker.track(df, {"j": Policy(3, 100, 50)}, delay=None)
         out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
         return sorted((r["ip"], r["banned_at"], r["ban_count"]) for r in spark.read.schema(tracker.OUTPUT).parquet(f"{tmp_path}/out").collect())
 
@@ -71,10 +120,10 @@ def test_restart_from_the_checkpoint_keeps_rings_and_bans(spark, tmp_path):
         assert go() == [("a", 30, 1), ("a", 81, 2), ("b", 3, 1)]
 
 
-def test_rows_that_come_late_are_taken_as_they_arrive(spark, tmp_path):
+def test_rows_that_come_late_are_taken_as_they_arrive_without_a_delay(spark, tmp_path):
     # The second file is older than the first one; the span is negative, which is within find_time.
     rows = [[("a", "j", 1000, 1, "failure")], [("a", "j", 10, 2, "failure")]]
-    assert [(r["ip"], r["banned_at"]) for r in streamed(spark, tmp_path, rows)] == [("a", 10)]
+    assert [(r["ip"], r["banned_at"]) for r in streamed(spark, tmp_path, rows, None, end=False)[0]] == [("a", 10)]
 
 
 def test_feed_writes_each_notification_once(spark, tmp_path):
@@ -82,5 +131,5 @@ def test_feed_writes_each_notification_once(spark, tmp_path):
     for _ in range(2):
         with replay.state_store(spark):
             df = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
-            replay.feed(tracker.track(df, {"sshd": Policy(3, 100, 50)}), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+            replay.feed(tracker.track(df, {"sshd": Policy(3, 100, 50)}, delay=None), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"event":"ban","ip":"a","jail":"sshd","ban_time":50,"timestamp":"1970-01-01T00:00:03+00:00"}']

@@ -29,11 +29,12 @@ def reached(failures: DataFrame, rules: list[tuple[str, int, int]]) -> DataFrame
 
 
 def threshold_by_policy(failures: DataFrame, policy: DataFrame) -> DataFrame:
-    """As threshold, with each jail's max_retry and find_time from a policy table."""
+    """As threshold, with each jail's max_retry and find_time from a policy table; one sort, and a look back for each distinct max_retry."""
     df = failures.join(policy.filter("enabled").select("jail", "max_retry", "find_time"), "jail")
-    nth = df.withColumn("_n", F.row_number().over(_by()))
-    back = nth.select("ip", "jail", (F.col("_n") + F.col("max_retry") - 1).alias("_n"), F.col("ts").alias("_ts"))
-    return nth.join(back, ["ip", "jail", "_n"]).withColumn("span", F.col("ts") - F.col("_ts")).filter("span < find_time").drop("_n", "_ts")
+    back = F.lit(None).cast("long")
+    for r in policy.filter("enabled").select("max_retry").distinct().collect():  # a policy is as long as its jails
+        back = F.when(F.col("max_retry") == r["max_retry"], F.lag("ts", r["max_retry"] - 1).over(_by())).otherwise(back)
+    return df.withColumn("span", F.col("ts") - back).filter("span < find_time")
 
 
 def ring(failures: DataFrame, max_retry: int, find_time: int) -> DataFrame:

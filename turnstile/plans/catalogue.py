@@ -196,7 +196,8 @@ def gate(pattern: str) -> str | None:
     The run that ends at <HOST> if it has three characters; else the longest run before it that has; else a shorter run
     at <HOST>; else none.
     """
-    runs = literal_runs(pattern[: pattern.index(TAG)])
+    # What names a group or begins a look around is no text of the line.
+    runs = literal_runs(re.sub(r"\(\?(?:P?<\w+>|<?[=!])", "(", pattern[: pattern.index(TAG)]))
     if len(runs[-1]) >= 3:
         return runs[-1]
     longest = max(runs, key=len)
@@ -260,6 +261,20 @@ def literals(pattern: str) -> list[str]:
     return sorted({r for r in [*runs, run] if len(r) >= 3}, key=lambda r: (-len(r), r))
 
 
+def needed(pattern: str) -> list[str]:
+    """Texts without which a line is not tried: the gate first, which counts as it is written whatever the pattern's flags, then literals."""
+    first = gate(pattern)
+    rest = [x for x in literals(pattern) if x != first]
+    held = [*([first] if first else []), *rest]
+    return [x for x in held if not any(x != y and x in y for y in held)]
+
+
+def rare_word(pattern: str) -> str | None:
+    """The longest word that stands whole within a needed text: with other characters on both sides of it there."""
+    inner = [w for x in needed(pattern) for w in re.findall(r"(?<=[^A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])", x)]
+    return max(sorted(inner), key=len, default=None)
+
+
 def _plain(text: str, times: str) -> bool:
     """Whether a part may stand in an atomic group: a character, a class, or alternatives of plain text."""
     if text.startswith("("):

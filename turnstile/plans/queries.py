@@ -78,9 +78,12 @@ def matched_idx(patterns) -> str:
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT seq, CAST(length(line) AS INT) AS n, upper(line) AS loud FROM ({V.AUTH}) a")
+@query(f"SELECT CAST(length(line) AS INT) + CASE WHEN seq % 5 = 0 THEN 1 ELSE 0 END AS n, concat(upper(line), CASE WHEN seq % 5 = 0 THEN chr(13) ELSE '' END) AS loud FROM ({V.AUTH}) a")
 def scan_log(spark, sf):
-    return V.auth_log(spark, sf).select("seq", F.length("line").alias("n"), F.upper("line").alias("loud"))
+    """A log in files, some of whose lines end in a carriage return, which stays: only line feeds split."""
+    path = folder(spark, "scan")
+    L.write_log(V.auth_log(spark, sf).withColumn("line", F.concat("line", F.when(F.col("seq") % 5 == 0, "\r").otherwise(""))), path)
+    return L.read_log(spark, path).select(F.length("line").alias("n"), F.upper("line").alias("loud"))
 
 
 @query(f"SELECT seq, line FROM ({V.AUTH}) a WHERE (contains(line, 'Failed') OR contains(line, 'Invalid')) AND seq % 3 <> 1")
@@ -90,7 +93,7 @@ def journal_filter(spark, sf):
     return L.journal_lines(entries, {"_SYSTEMD_UNIT": ["ssh.service", "sshd.service"], "_TRANSPORT": ["syslog"]}).select("seq", "line")
 
 
-@query("SELECT doc_id AS seq, regexp_replace(text, '\\s+$', '') AS line FROM documents WHERE strlen(text) <= 4096")
+@query(f"SELECT doc_id AS seq, rtrim(text, {sql_text(extract.BLANKS)}) AS line FROM documents WHERE strlen(text) <= 65536")
 def line_hygiene(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("seq"), F.col("text").alias("line"))
     return extract.clean_lines(docs)
@@ -99,12 +102,22 @@ def line_hygiene(spark, sf):
 _LONG = "SELECT doc_id AS seq, repeat(text, CASE WHEN doc_id % 10 = 0 THEN 30 ELSE 1 END) AS line FROM documents"
 
 
-@query(f"SELECT seq, regexp_replace(line, '\\s+$', '') AS line FROM ({_LONG}) d WHERE strlen(line) <= 65536")
+@query(f"SELECT seq, rtrim(line, {sql_text(extract.BLANKS)}) AS line FROM ({_LONG}) d WHERE strlen(line) <= 65536")
 def clean_long_lines(spark, sf):
     """Lines on both sides of the bound."""
     return extract.clean_lines(V.read(spark, sf, _LONG, "documents"))
 
 
+#: Runs of blanks of several kinds inside lines and at their ends.
+_BLANK = "SELECT doc_id AS seq, concat(text, repeat(' ', CAST(doc_id % 500 AS INT)), '\u00a0', CASE WHEN doc_id % 3 = 0 THEN '.' ELSE '' END, '\u3000\t\u2028', CASE WHEN doc_id % 5 = 0 THEN '\u200b' ELSE '\u0085' END, '  ') AS line FROM documents"
+
+
+@query(f"SELECT seq, rtrim(line, {sql_text(extract.BLANKS)}) AS line FROM ({_BLANK}) d WHERE strlen(line) <= 65536")
+def clean_blank_ends(spark, sf):
+    """White space of all alphabets goes from the ends of lines, and none from within."""
+    return extract.clean_lines(V.read(spark, sf, _BLANK, "documents"))
+
+
 @query(f"SELECT line FROM ({V.AUTH}) a")
 def log_files(spark, sf):
     """The log as text files, read back."""
@@ -233,12 +246,12 @@ def extract_at_start(spark, sf):
 
 
 #: A line that names a second address, which a client could have put into its user name.
-_SPOOF = f"SELECT seq, replace(line, ' from ', ' from 1.1.1.1 port 1 from ') AS line FROM ({V.AUTH}) a"
+_SPOOF = f"SELECT seq, replace(line, ' from ', ' from ad from 999.1.1.1 from 1.1.1.1:22 port 1 from ') AS line FROM ({V.AUTH}) a"
 
 
 @query(f"SELECT seq, '1.1.1.1' AS first_ip, regexp_extract(line, '.* from ([0-9.]+) port', 1) AS ip FROM ({_SPOOF}) s WHERE contains(line, 'Invalid user ') OR contains(line, 'Failed password ')")
 def extract_after_literal(spark, sf):
-    """The address at the place of <HOST>, and the first one behind the literal, which would be a spoofed one."""
+    """The address at the place of <HOST>, and the first valid one behind the literal, which would be a spoofed one."""
     df = extract.match(V.read(spark, sf, _SPOOF, "events"), FAILING)
     return df.select("seq", extract.address_behind(F.col("line"), " from ").alias("first_ip"), "ip")
 
@@ -412,11 +425,14 @@ def manual_unban(spark, sf):
     return out.select("ip", "jail", F.col("banned_at").alias("ts"), "seq", F.col("kind").alias("outcome"))
 
 
-@query(O.STANDARD + f", early AS (SELECT * FROM ({O.FAIL}) f WHERE ts < {T1}) SELECT b.ip, b.jail, b.banned_at, b.ban_count FROM bans b WHERE b.banned_at < {T1}")
+_SOON = V.T1 + 3600
+
+
+@query(O.CHANGED + f" SELECT ip, jail, banned_at, ban_count FROM bans WHERE banned_at <= {_SOON} AND (ended_at IS NULL OR ended_at > {_SOON})")
 def policy_change(spark, sf):
-    """Bans from before a change of policy that drops every other jail stay as they are."""
-    before = timeline.bans(fails(spark, sf).filter(F.col("ts") < T1), V.STANDARD)
-    return before.select("ip", "jail", "banned_at", "ban_count")
+    """Who is banned soon after a change of policies: bans of the jail that is then missing stay as well."""
+    both = timeline.bans(multi_fails(spark, sf), [(0, V.JAILS), (T1, V.LATER)])
+    return timeline.active_at(both, _SOON).select("ip", "jail", "banned_at", "ban_count")
 
 
 @query(O.CHANGED + f" SELECT {_BAN} FROM bans")
@@ -766,13 +782,35 @@ def stream_failures(spark, sf):
 
 @query(O.STANDARD + " SELECT ip, jail, banned_at, expires_at, ban_count FROM bans")
 def stream_bans(spark, sf):
-    """The tracker with keyed state over the same stream."""
+    """The tracker with keyed state, over lines that land in several parts, up to a day late and shuffled."""
     return replay.tracked(spark, sf).filter("kind = 'ban'").select("ip", "jail", "banned_at", "expires_at", "ban_count")
 
 
-@query(O.STANDARD + """ SELECT concat('{"event":"ban","ip":"', ip, '","jail":"', jail, '","ban_time":', CAST(ban_time AS VARCHAR), ',"timestamp":"', strftime(make_timestamp(banned_at * 1000000), '%Y-%m-%dT%H:%M:%S+00:00'), '"}') AS payload FROM bans""")
+@query(O.STANDARD + " SELECT banned_at AS ts, 'ban' AS kind, ip, jail, ban_time FROM bans UNION ALL SELECT ended_at, 'unban', ip, jail, NULL FROM bans WHERE ended_at IS NOT NULL")
+def stream_changes(spark, sf):
+    """Bans and, by timers, their ends."""
+    return replay.tracked(spark, sf, 4).select(F.col("banned_at").alias("ts"), "kind", "ip", "jail", "ban_time")
+
+
+@query(O.CHANGED + " SELECT ip, jail, banned_at, expires_at, ban_count FROM bans")
+def stream_policies(spark, sf):
+    """The tracker started again from its checkpoint with policies that then change."""
+    return replay.across_versions(spark, sf).filter("kind = 'ban'").select("ip", "jail", "banned_at", "expires_at", "ban_count")
+
+
+_BY_HAND = """SELECT ip, jail, ts, seq, CASE WHEN bt IS NOT NULL THEN 'ban' WHEN kind = 'unban' AND active THEN 'unban' ELSE 'reject' END AS outcome FROM st WHERE bt IS NOT NULL OR kind IN ('ban', 'unban')"""
+
+
+@query(O.MANUAL + f" {_BY_HAND}")
+def stream_commands(spark, sf):
+    """Failures and manual commands as two inputs of one stream: bans, manual unbans, rejected commands."""
+    rows = replay.commanded(spark, sf).filter("seq IS NOT NULL")  # expiries have no number
+    return rows.select("ip", "jail", F.col("banned_at").alias("ts"), "seq", F.col("kind").alias("outcome"))
+
+
+@query(O.STANDARD + " SELECT concat('{\"event\":\"', kind, '\",\"ip\":\"', ip, '\",\"jail\":\"', jail, CASE WHEN kind = 'ban' THEN concat('\",\"ban_time\":', CAST(ban_time AS VARCHAR), ',') ELSE '\",' END, '\"timestamp\":\"', strftime(make_timestamp(ts * 1000000), '%Y-%m-%dT%H:%M:%S+00:00'), '\"}') AS payload FROM (SELECT banned_at AS ts, 'ban' AS kind, ip, jail, ban_time FROM bans UNION ALL SELECT ended_at, 'unban', ip, jail, NULL FROM bans WHERE ended_at IS NOT NULL) c")
 def stream_feed(spark, sf):
-    """Notifications of the tracker's stream, written to files."""
+    """Notifications of bans and unbans of the tracker's stream, written to files."""
     return replay.fed(spark, sf)
 
 
