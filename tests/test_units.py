@@ -1,4 +1,5 @@
 import ipaddress
+import random
 import re
 
 import pytest
@@ -124,3 +125,19 @@ def test_nested_networks_of_both_families(spark):
     ranges = spark.createDataFrame([(0x0A000000, 0x0AFFFFFF, "wide"), (0x0A010000, 0x0A01FFFF, "mid")], "lo_n long, hi_n long, country string")
     found = enrich.geo_range(rows.filter("ip LIKE '10%'"), ranges).collect()
     assert sorted((r["ip"], r["country"]) for r in found) == [("10.1.2.3", "mid"), ("10.1.2.3", "mid"), ("10.1.9.9", "mid"), ("10.9.9.9", "wide")]
+
+
+def test_bans_at_each_of_many_instants(spark):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(300):
+        at = rnd.randrange(-10**6, 10**9)
+        end = rnd.choice([None, at, at + 1, at + rnd.randrange(3600), at + rnd.randrange(10**5), at + rnd.randrange(10**7), at + rnd.randrange(2 * 10**9)])
+        rows.append((f"ip{i % 40}", rnd.choice("jk"), at, end, end))
+    bans = spark.createDataFrame([*rows, rows[0]], "ip string, jail string, banned_at long, expires_at long, ended_at long")
+    times = [rnd.randrange(-2 * 10**6, 10**9) for _ in range(200)] + [r[2] for r in rows[:40]] + [r[3] for r in rows[:40] if r[3] is not None]
+    asked = spark.createDataFrame([(k, t) for k, t in enumerate([*times, times[0], None])], "k long, t long")
+    got = sorted((r.k, r.ip, r.jail, r.banned_at) for r in timeline.active_at_each(bans, asked).collect())
+    want = sorted((k, r[0], r[1], r[2]) for k, t in enumerate([*times, times[0]]) for r in [*rows, rows[0]] if r[2] <= t and (r[4] is None or r[4] > t))
+    assert got == want and len(got) > 1000
+    assert timeline.active_at_each(bans, asked.limit(0)).count() == timeline.active_at_each(bans.limit(0), asked).count() == 0

@@ -37,6 +37,25 @@ def stats_by_jail(jails: DataFrame, failures: DataFrame, bans: DataFrame, now: i
     return df.select("jail", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("failures", "bans", "active")])
 
 
+#: Bits of a sketch's registers (2^12 of them, 4 KB at most), and three standard errors of its count.
+SKETCH, SKETCH_ERROR = 12, 3 * 1.04 / 64
+
+
+def sketches(failures: DataFrame, seconds: int = 3600) -> DataFrame:
+    """jail, since, failures, sketch: for each jail and span of time the failures and a sketch of their addresses.
+
+    Sketches of parts merge into that of the whole, so counts of distinct addresses over any spans need the failures no more.
+    """
+    since = (F.floor(F.col("ts") / seconds) * seconds).cast("long")
+    return failures.groupBy("jail", since.alias("since")).agg(F.count(F.lit(1)).alias("failures"), F.hll_sketch_agg("ip", F.lit(SKETCH)).alias("sketch"))
+
+
+def merged_sketches(parts: DataFrame, *by: Column | str) -> DataFrame:
+    """Sketches of parts, merged by keys: failures, addresses (within SKETCH_ERROR of the exact number), and the merged sketch."""
+    merged = parts.groupBy(*by).agg(F.sum("failures").alias("failures"), F.hll_union_agg("sketch").alias("sketch"))
+    return merged.withColumn("addresses", F.hll_sketch_estimate("sketch"))
+
+
 def gaps(bans: DataFrame) -> DataFrame:
     """Each ban's number and the time since the address's last one."""
     by = Window.partitionBy("ip").orderBy("banned_at", "seq", "jail")

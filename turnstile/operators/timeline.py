@@ -172,6 +172,41 @@ def active_at(bans_: DataFrame, t: int) -> DataFrame:
     return bans_.filter((F.col("banned_at") <= t) & (F.col("ended_at").isNull() | (F.col("ended_at") > t)))
 
 
+#: Width of the finest buckets of time, in seconds, and how many times coarser each further level is.
+BUCKET, COARSER = 3600, 16
+#: Levels of buckets; the last one takes what is longer, and bans without an end, in so many parts by a hash of the address.
+LEVELS, PARTS = 5, 64
+
+
+def active_at_each(bans_: DataFrame, instants: DataFrame, column: str = "t") -> DataFrame:
+    """instants joined with the bans that are open at each (ip, jail, banned_at, expires_at, ended_at): one row for each such pair.
+
+    An interval join by buckets of time. A ban lies in two buckets at most of the finest level whose buckets are as long as it is,
+    and an instant looks into one bucket a level, so neither side grows with the length of a ban. A bucket's pairs share a
+    level's width of time, so a fixed part of them at least are rows of the result. Bans of the last level, of years or without an end, lie
+    in each of its buckets up to the newest instant; they are dealt in parts, as one bucket holds most of them.
+    """
+    width = [BUCKET * COARSER**k for k in range(LEVELS)]
+    b = bans_.select("ip", "jail", "banned_at", "expires_at", "ended_at").filter("ended_at IS NULL OR ended_at > banned_at")
+    last = F.coalesce(F.col("ended_at") - 1, F.lit(None).cast("long"))
+    lasts = last - F.col("banned_at")
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(lasts < width[k], k).otherwise(level)
+    of = lambda ts, k: F.floor(ts / F.element_at(F.array(*map(F.lit, width)), k + 1)).cast("long")
+    times = instants.select(F.col(column).cast("long").alias("_t")).filter("_t IS NOT NULL").distinct()
+    newest = times.agg(F.max("_t").alias("_newest"))
+    dealt = b.withColumn("_level", level).crossJoin(F.broadcast(newest))  # one row
+    end = F.least(F.coalesce(last, F.col("_newest")), F.col("_newest"))
+    part = F.when(F.col("_level") == LEVELS - 1, F.pmod(F.xxhash64("ip"), F.lit(PARTS)).cast("int")).otherwise(0)
+    dealt = dealt.filter(F.col("banned_at") <= F.col("_newest")).withColumn("_part", part).withColumn("_bucket", F.explode(F.sequence(of(F.col("banned_at"), F.col("_level")), F.greatest(of(end, F.col("_level")), of(F.col("banned_at"), F.col("_level"))))))
+    looks = [(k, 0) for k in range(LEVELS - 1)] + [(LEVELS - 1, i) for i in range(PARTS)]
+    asked = times.select("_t", F.inline(F.array(*[F.struct(F.lit(k).alias("_level"), F.lit(i).alias("_part")) for k, i in looks]))).withColumn("_bucket", of(F.col("_t"), F.col("_level")))
+    open_ = (F.col("banned_at") <= F.col("_t")) & (F.col("ended_at").isNull() | (F.col("ended_at") > F.col("_t")))
+    found = asked.join(dealt, ["_level", "_part", "_bucket"]).filter(open_).select("_t", "ip", "jail", "banned_at", "expires_at", "ended_at")
+    return instants.join(found, F.col(column) == F.col("_t")).drop("_t")
+
+
 def changes(bans_: DataFrame) -> DataFrame:
     """The change feed: a row where a ban begins, and one where it ends."""
     starts = bans_.select(F.col("banned_at").alias("ts"), F.lit("ban").alias("kind"), "ip", "jail", "ban_time")

@@ -6,7 +6,7 @@ from turnstile.operators.timeline import LONG_MAX, Policy
 from turnstile.plans import views
 
 FAIL = f"""SELECT {views.IP} AS ip, 'sshd' AS jail, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id AS seq,
-  CASE event_type WHEN 'error' THEN 0 ELSE 1 END AS pattern_idx FROM events WHERE event_type IN ('error', 'view')"""
+  CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS pattern_idx FROM events WHERE event_type IN ('error', 'view', 'click')"""
 
 
 def multi_fail(jails: dict[str, Policy]) -> str:

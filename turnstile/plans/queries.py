@@ -15,13 +15,13 @@ from turnstile.plans import views as V
 from turnstile.plans.catalogue import HOST, catalogue, expand, gate, patterns_of
 from turnstile.sources import lines as L
 from turnstile.sources import policy as P
-from turnstile.sources.tables import folder
+from turnstile.sources.tables import folder, written
 from turnstile.streaming import replay
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SSHD = patterns_of("sshd")
-FAILING = [("sshd", SSHD[:2])]
+FAILING = [("sshd", SSHD)]
 T1, T2 = V.T1, V.T2
 
 
@@ -44,7 +44,7 @@ def fails(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def multi_fails(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.failures(V.auth_log(spark, sf), [(j, SSHD[:2]) for j in V.JAILS])
+    return extract.failures(V.auth_log(spark, sf), [(j, SSHD) for j in V.JAILS])
 
 
 def bans(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,7 +252,7 @@ _SPOOF = f"SELECT seq, replace(line, ' from ', ' from ad from 999.1.1.1 from 1.1
 @query(f"SELECT seq, '1.1.1.1' AS first_ip, regexp_extract(line, '.* from ([0-9.]+) port', 1) AS ip FROM ({_SPOOF}) s WHERE contains(line, 'Invalid user ') OR contains(line, 'Failed password ')")
 def extract_after_literal(spark, sf):
     """The address at the place of <HOST>, and the first valid one behind the literal, which would be a spoofed one."""
-    df = extract.match(V.read(spark, sf, _SPOOF, "events"), FAILING)
+    df = extract.match(V.read(spark, sf, _SPOOF, "events"), [("sshd", SSHD[:2])])
     return df.select("seq", extract.address_behind(F.col("line"), " from ").alias("first_ip"), "ip")
 
 
@@ -293,7 +293,7 @@ def normalize_mapped(spark, sf):
     return addr.with_ip(V.read(spark, sf, _MAPPED, "events"), "token", "ip")
 
 
-@query(f"SELECT seq, ip FROM ({O.FAIL}) f WHERE NOT regexp_matches(ip, '\\.1[0-9]$') AND pattern_idx IN (0, 1) AND NOT (pattern_idx = 1 AND ip = '10.20.0.7')")
+@query(f"SELECT seq, ip FROM ({O.FAIL}) f WHERE NOT regexp_matches(ip, '\\.1[0-9]$') AND NOT (pattern_idx = 1 AND ip = '10.20.0.7')")
 def ignore_regex(spark, sf):
     return extract.drop_ignored(extract.match(V.auth_log(spark, sf), FAILING), [r"10\.20\.\d+\.1\d port", r"Invalid user u7 "]).select("seq", "ip")
 
@@ -310,7 +310,7 @@ def failures(spark, sf):
 
 @query(f"SELECT seq, jail, ip FROM ({O.multi_fail(V.JAILS)}) f UNION ALL SELECT seq, 'closed' AS jail, {matched('x', SSHD[2:])} AS ip FROM ({V.AUTH}) a WHERE contains(line, 'Connection closed')")
 def multi_jail_match(spark, sf):
-    jails = [(j, SSHD[:2]) for j in V.JAILS] + [("closed", SSHD[2:])]
+    jails = [(j, SSHD) for j in V.JAILS] + [("closed", SSHD[2:])]
     return extract.match(V.auth_log(spark, sf), jails).select("seq", "jail", "ip")
 
 
@@ -612,6 +612,17 @@ def active_at(spark, sf):
     return timeline.active_at(multi_bans(spark, sf), T1).select("ip", "jail", "banned_at", "expires_at")
 
 
+#: A moment of interest every time someone buys something.
+_MOMENTS = "SELECT event_id AS k, CAST(floor(EPOCH) AS BIGINT) AS t FROM events WHERE event_type = 'purchase'"
+
+
+@query(O.MULTI + f" SELECT m.k, m.t, b.ip, b.jail, b.banned_at FROM ({_MOMENTS.replace('EPOCH', 'epoch(ts)')}) m JOIN bans b ON b.banned_at <= m.t AND (b.ended_at IS NULL OR b.ended_at > m.t)")
+def active_at_each(spark, sf):
+    """Who was banned at each of thousands of moments."""
+    moments = V.read(spark, sf, _MOMENTS.replace("EPOCH", "unix_micros(CAST(ts AS TIMESTAMP)) / 1e6"), "events")
+    return timeline.active_at_each(multi_bans(spark, sf), moments).select("k", "t", "ip", "jail", "banned_at")
+
+
 # --- reports ---------------------------------------------------------------------------------------------------------
 
 
@@ -641,9 +652,25 @@ def distinct_ips(spark, sf):
     return multi_fails(spark, sf).groupBy("jail").agg(F.count(F.lit(1)).alias("matches"), F.countDistinct("ip").alias("addresses"))
 
 
-@query()
+@query(f"SELECT jail, count(DISTINCT ip) AS addresses, true AS within FROM ({O.multi_fail(V.JAILS)}) f GROUP BY jail")
 def approx_ips(spark, sf):
-    return multi_fails(spark, sf).groupBy("jail").agg(F.approx_count_distinct("ip").alias("addresses"))
+    """The exact number beside the approximate one, which is within three of its standard errors (5 % each)."""
+    df = multi_fails(spark, sf).groupBy("jail").agg(F.countDistinct("ip").alias("addresses"), F.approx_count_distinct("ip").alias("about"))
+    return df.select("jail", "addresses", (F.abs(F.col("about") - F.col("addresses")) <= 0.15 * F.col("addresses")).alias("within"))
+
+
+@query(f"SELECT jail, ts // 86400 AS day, count(*) AS failures, true AS within FROM ({O.multi_fail(V.JAILS)}) f GROUP BY ALL UNION ALL SELECT jail, NULL, count(*), true FROM ({O.multi_fail(V.JAILS)}) f GROUP BY jail")
+def sketched_ips(spark, sf):
+    """Distinct addresses a day and in all from sketches of hours, merged upward: within the sketch's error of the exact number."""
+    f = multi_fails(spark, sf)
+    hours = written(reports.sketches(f), "sketches")
+    days = reports.merged_sketches(hours, "jail", F.floor(F.col("since") / 86400).alias("day"))
+    whole = reports.merged_sketches(days.drop("addresses"), "jail").withColumn("day", F.lit(None).cast("long"))
+    exact = f.groupBy("jail", F.floor(F.col("ts") / 86400).alias("day")).agg(F.countDistinct("ip").alias("n"))
+    exact = exact.unionByName(f.groupBy("jail").agg(F.countDistinct("ip").alias("n")).withColumn("day", F.lit(None).cast("long"))).withColumnRenamed("jail", "_jail").withColumnRenamed("day", "_day")
+    both = days.unionByName(whole).join(exact, (F.col("jail") == F.col("_jail")) & F.col("day").eqNullSafe(F.col("_day")))
+    near = F.abs(F.col("addresses") - F.col("n")) <= F.greatest(F.lit(1.0), reports.SKETCH_ERROR * F.col("n"))
+    return both.select("jail", "day", "failures", near.alias("within"))
 
 
 @query(O.STANDARD + f" SELECT country, count(*) AS bans, count(DISTINCT ip) AS addresses FROM ({_GEO.format(b='bans')}) x GROUP BY country")

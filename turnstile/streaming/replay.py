@@ -31,7 +31,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.failures(lines(spark, sf_dir), [("sshd", patterns_of("sshd")[:2])])
+    return extract.failures(lines(spark, sf_dir), [("sshd", patterns_of("sshd"))])
 
 
 def run(stream: DataFrame, spark: SparkSession) -> DataFrame:
@@ -82,7 +82,7 @@ class Replay:
 
     def __init__(self, spark: SparkSession, jails: list[str], rows: DataFrame, commands: DataFrame | None = None):
         self.spark, self.base = spark, folder(spark, "replay")
-        self.jails = [(j, patterns_of("sshd")[:2]) for j in jails]
+        self.jails = [(j, patterns_of("sshd")) for j in jails]
         self.rows, self.commands = rows, commands
         self.state_rows: list[int] = []
 
