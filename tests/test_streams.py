@@ -2,6 +2,7 @@
 
 from turnstile.operators import timeline
 from turnstile.operators.timeline import Policy
+from turnstile.sources import ledger
 from turnstile.sources.lines import follow_log
 from turnstile.streaming import replay, snapshots, tracker
 
@@ -133,3 +134,35 @@ def test_feed_writes_each_notification_once(spark, tmp_path):
             df = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in"))
             replay.feed(tracker.track(df, {"sshd": Policy(3, 100, 50)}, delay=None), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"event":"ban","ip":"a","jail":"sshd","ban_time":50,"timestamp":"1970-01-01T00:00:03+00:00"}']
+
+
+def test_chunks_that_land_again_or_grown_add_new_lines_only(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    base = str(tmp_path / "state")
+    one = [f"10:00:{i:02d} first {i}" for i in range(40)]
+    other = ["10:00:00 first 0", *[f"other {i}" for i in range(10)]]  # begins alike, and is another file
+
+    def land(**files):
+        for name, lines in files.items():
+            (tmp_path / "in" / name).write_text("".join(f"{x}\n" for x in lines))
+        got = ledger.follow_chunks(spark, str(tmp_path / "in") + "/*", base, 2).collect()
+        return sorted((r.line, r.number) for r in got)
+
+    rows = lambda lines: [(x, i) for i, x in enumerate(lines)]
+    want = rows(one[:10])
+    assert land(a=one[:10]) == sorted(want)
+    assert land(a_renamed=one[:10]) == sorted(want)
+    want += rows(one)[10:25]
+    assert land(grown=one[:25]) == sorted(want)
+    want += rows(other)
+    assert land(other=other, other_copy=other) == sorted(want)
+    want += rows(one)[25:]
+    # In one batch or several: a chunk of an older length, the whole one twice, an empty file.
+    assert land(b=one[:10], c=one, d=one, e=[]) == sorted(want)
+    # Shorter than any that begin alike: a log that was begun anew.
+    want += rows(one[:3])
+    assert land(short=one[:3]) == sorted(want)
+    assert land() == sorted(want)
+    # The last line may lack its line feed; repeated lines in a chunk count each.
+    (tmp_path / "in" / "z").write_text("same\nsame\nsame")
+    assert land() == sorted(want + rows(["same"] * 3))

@@ -13,6 +13,7 @@ from turnstile.operators import enrich, extract, reports, rules, timeline
 from turnstile.plans import oracles as O
 from turnstile.plans import views as V
 from turnstile.plans.catalogue import HOST, catalogue, expand, gate, patterns_of
+from turnstile.sources import ledger
 from turnstile.sources import lines as L
 from turnstile.sources import policy as P
 from turnstile.sources.tables import folder, written
@@ -126,6 +127,21 @@ def log_files(spark, sf):
     return L.read_log(spark, path).select("line")
 
 
+@query(f"SELECT line FROM ({V.AUTH}) a")
+def chunks_once(spark, sf):
+    """Chunks of a log that land cut short, then grown under other names, then some of them again: every line once."""
+    base, log = folder(spark, "chunks"), V.auth_log(spark, sf)
+    ends = log.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    width = max(1, ((ends["b"] or 0) - (ends["a"] or 0)) // 6 + 1)
+    at = F.col("seq") - (ends["a"] or 0)
+    chunk = F.floor(at / width)
+    for name, some in (("a", at % width < 0.6 * width), ("b", F.lit(True)), ("c", (at % width < 0.6 * width) & (chunk % 2 == 0))):
+        part = log.filter(some).select(chunk.alias("chunk"), "seq", "line").repartition("chunk").sortWithinPartitions("chunk", "seq")
+        part.select("chunk", "line").write.partitionBy("chunk").option("lineSep", "\n").text(f"{base}/in/{name}")
+        lines = ledger.follow_chunks(spark, f"{base}/in/*/*/*.txt", base)
+    return lines.select("line")
+
+
 @query(f"SELECT CAST(seq AS VARCHAR) AS at, line FROM ({V.AUTH}) a WHERE contains(line, 'Failed') OR contains(line, 'Invalid')")
 def journal_files(spark, sf):
     """A journal's JSON export as files, read back with field matches; entries without a message drop out."""
