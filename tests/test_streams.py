@@ -1,5 +1,7 @@
 """Streams: timers, a starting state, and live snapshots, on files that land one by one."""
 
+import os
+
 from turnstile.operators import timeline
 from turnstile.operators.timeline import Policy
 from turnstile.sources import ledger
@@ -75,6 +77,15 @@ def test_followed_files_and_snapshots(spark, tmp_path):
     assert sorted(r["line"] for r in rows) == sorted([f"line {i}\r" for i in range(3)] + [f"other {i}" for i in range(3)])
 
 
+def test_following_starts_at_the_end(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    for name, at in (("old", 1_700_000_000), ("new", 1_700_000_100)):
+        (tmp_path / "log" / name).write_text(f"{name} line\n")
+        os.utime(tmp_path / "log" / name, (at, at))
+    rows = replay.run(follow_log(spark, str(tmp_path / "log"), since="2023-11-14 22:14:00").select("line"), spark)
+    assert [r["line"] for r in rows.collect()] == ["new line"]
+
+
 def test_snapshots_cost_what_a_batch_holds(spark, tmp_path):
     live = snapshots.Snapshots(spark, str(tmp_path / "live"), every=3)
     write, schema = live.writer(), spark.createDataFrame([], tracker.OUTPUT).schema

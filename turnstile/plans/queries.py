@@ -823,6 +823,16 @@ def stream_failures(spark, sf):
     return replay.extracted(spark, sf).select("ip", "jail", "ts", "seq")
 
 
+@query(f"SELECT CAST(seq AS VARCHAR) AS at, ip FROM ({O.FAIL}) f WHERE pattern_idx < 2")
+def stream_journal(spark, sf):
+    """A journal's export that lands in files, followed through field matches to failures."""
+    path = folder(spark, "journal")
+    unit = F.when(F.col("line").contains("Failed") | F.col("line").contains("Invalid"), "ssh.service").otherwise("cron.service")
+    L.write_journal(V.auth_log(spark, sf).select(F.col("line").alias("MESSAGE"), F.col("seq").alias("__REALTIME_TIMESTAMP"), unit.alias("_SYSTEMD_UNIT")), path)
+    rows = L.follow_journal(spark, path, {"_SYSTEMD_UNIT": ["ssh.service", "sshd.service"]})
+    return replay.run(extract.match(extract.clean_lines(rows), FAILING).select(F.col("__REALTIME_TIMESTAMP").alias("at"), "ip"), spark)
+
+
 @query(O.STANDARD + " SELECT ip, jail, banned_at, expires_at, ban_count FROM bans")
 def stream_bans(spark, sf):
     """The tracker with keyed state, over lines that land in several parts, up to a day late and shuffled."""

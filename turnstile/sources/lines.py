@@ -11,16 +11,28 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
 
 
-def follow_log(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """A stream of (line, path, modified) of files that land in a folder. Rotated chunks are new files; a file counts once."""
+def follow_log(spark: SparkSession, path: str, files_per_trigger: int = 100, since: str | None = None) -> DataFrame:
+    """A stream of (line, path, modified) of files that land in a folder. Rotated chunks are new files; a file counts once.
+
+    With ``since``, a moment, it starts at the end as of then: lines of files that were complete by that time are passed over.
+    """
     stream = spark.readStream.format("text").option("lineSep", "\n").option("maxFilesPerTrigger", files_per_trigger).load(path)
-    return stream.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
+    rows = stream.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
+    return rows if since is None else rows.filter(F.col("modified") > F.lit(since).cast("timestamp"))
+
+
+def _journal_schema(matches: dict[str, list[str]]) -> str:
+    return ", ".join(f"`{f}` string" for f in sorted({"MESSAGE", "__REALTIME_TIMESTAMP", *matches}))
 
 
 def read_journal(spark: SparkSession, path: str, matches: dict[str, list[str]]) -> DataFrame:
     """Lines of a journal's JSON export: the same field matches any of its values, different fields all match."""
-    fields = sorted({"MESSAGE", "__REALTIME_TIMESTAMP", *matches})
-    return journal_lines(spark.read.schema(", ".join(f"`{f}` string" for f in fields)).json(path), matches)
+    return journal_lines(spark.read.schema(_journal_schema(matches)).json(path), matches)
+
+
+def follow_journal(spark: SparkSession, path: str, matches: dict[str, list[str]], files_per_trigger: int = 100) -> DataFrame:
+    """The same of export files that land in a folder, as a stream."""
+    return journal_lines(spark.readStream.schema(_journal_schema(matches)).option("maxFilesPerTrigger", files_per_trigger).json(path), matches)
 
 
 def write_log(lines: DataFrame, path: str) -> None:
