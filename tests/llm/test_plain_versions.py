@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -181,12 +182,30 @@ def test_8_viterbi_is_the_best_of_all_paths():
         assert abs(score(best) - score(tuple(transcripts.viterbi(model, f).tolist()))) < 1e-9
 
 
+def test_8_numbers_of_any_size_and_blanks_within(spark):
+    rows = [(t, ("user", "assistant")[k % 2], f"what is {k}?" if k % 2 == 0 else f"it is {k}.") for k, t in enumerate([-(1 << 63), -5, 0, 7, 1 << 33, (1 << 63) - 1])]
+    conv = spark.createDataFrame([(c, *r) for c in range(1, 9) for r in rows], "conv_id long, turn long, role string, text string")
+    got = transcripts.parse_conversations(conv).filter("conv_id = 5").orderBy("turn_no").collect()
+    assert [r["content"] for r in got] == [r[2] for r in rows]
+    numbered = transcripts.lines_of(transcripts.raw_transcripts(conv))
+    plain = numbered.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "at", "line"))).alias("l")).select("conv_id", F.posexplode("l").alias("line_no", "l")).select("conv_id", F.col("line_no").cast("long").alias("line_no"), "l.line")
+    model = transcripts.fit(transcripts.with_next(transcripts.raw_transcripts(conv)).select("conv_id", "turn", "role", "next_role", F.size("_l").alias("n"), F.posexplode("_l").alias("at", "line")))
+    # The same lines numbered from 0, in one chunk and in several.
+    one, many = (sorted((r["conv_id"], r["turn_no"], r["content"]) for r in transcripts.turns(transcripts.decode(plain, model, span)).collect()) for span in (1 << 20, 3))
+    assert one == many and len(one) == 48
+    wide = spark.createDataFrame([(1, 0, "user", "a" + " " * 48_000 + "b  "), (1, 1, "assistant", "c.")], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    assert {len(r["content"]) for r in transcripts.parse_conversations(wide).collect()} >= {48_002}
+    assert time.time() - began < 60
+
+
 def test_8_long_turns_stay_apart_and_turns_may_repeat(spark):
     long = "\n" * (1 << 20) + "end of it"
     conv = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "right."), (2, 0, "user", "same?"), (2, 0, "user", "same?")], "conv_id long, turn long, role string, text string")
     lines = transcripts.lines_of(transcripts.raw_transcripts(conv))
-    first, last = (lines.filter(f"turn = {t} AND conv_id = 1").agg(F.min("line_no"), F.max("line_no")).first() for t in (0, 1))
-    assert first[1] < last[0] and first[1] >= 1 << 20
+    first, last = (lines.filter(f"turn = {t} AND conv_id = 1").agg(F.min(F.struct("line_no", "at")), F.max(F.struct("line_no", "at"))).first() for t in (0, 1))
+    assert first[1] < last[0] and first[1]["at"] >= 1 << 20
+    assert {(r["turn_no"], r["content"].strip()[-9:]) for r in transcripts.parse_conversations(conv.filter("conv_id = 1")).collect()} == {(1, "end of it"), (2, "right.")}
     assert transcripts.parse_conversations(conv.filter("conv_id = 2")).agg(F.sum(F.size(F.split("content", "same")) - 1)).first()[0] == 2
 
 

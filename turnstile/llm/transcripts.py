@@ -5,12 +5,13 @@ length, how it ends. A hidden state is a role and a part of a turn (its first li
 Emission and transition probabilities are counted on labelled transcripts; the most likely states of a transcript
 are found by Viterbi's recursion; turns are read off and rendered in one canonical form.
 
-A transcript of any length is dealt in chunks. A chunk's best scores between all pairs of states make a matrix; the
+A transcript is dealt in chunks of SPAN line numbers (turns, where lines are numbered within turns); a turn is not cut. A chunk's best scores between all pairs of states make a matrix; the
 matrices of a transcript, one small row a chunk, are folded to find the states at the chunks' ends, and the chunks are then
 decoded on their own. The result is that of one pass over the whole transcript.
 
-Cases: a null line counts as empty; lines with the same number are ordered by their text; a null conv_id is a
-transcript of its own. Turn numbers are 32-bit; one beyond that is an error. A transcript of blank lines only has no turn. Without labelled lines probabilities are uniform.
+Cases: a null line counts as empty; lines with the same number are ordered by their place within it (``at``, if there is one), then by
+their text; a null conv_id is a transcript of its own. Numbers may be negative and of any size; a null one counts as 0. A transcript of
+blank lines only has no turn. Without labelled lines probabilities are uniform.
 Extra columns are not read.
 """
 
@@ -35,9 +36,9 @@ MARKER = r"(?i)^\s*(?:#+\s*({0})\s*:?\s*$|[*_]*({0})[*_]*\s*:\s*)"
 ANY = MARKER.format("|".join(NAMES[r] for r in ROLES))
 #: Values of each feature: marker (none, by role, some other name), words, end.
 VALUES = (5, 5, 5)
-#: Bits of a line number that count the lines within a turn (an array's size has no more), and line numbers that a chunk spans.
-WITHIN = 31
-SPAN = 64 << WITHIN
+#: Line numbers that a chunk spans.
+SPAN = 64
+BLANK = " \t\n\x0b\f\r"
 
 
 def features(line: Column) -> list[Column]:
@@ -176,7 +177,7 @@ def _paths(model: Model):
         held: list[pd.DataFrame] = []
         for g in _groups(batches, ["_conv", "_chunk"]):
             state = viterbi(model, g[FEATURES].to_numpy(), int(g["_before"].iloc[0]), int(g["_last"].iloc[0]))
-            held.append(g[["conv_id", "_conv", "_chunk", "line_no", "line"]].assign(state=state.astype(np.int32), _turn=np.cumsum(state % 3 == BEGIN)))
+            held.append(g[["conv_id", "_conv", "_chunk", "line_no", "at", "line"]].assign(state=state.astype(np.int32), _turn=np.cumsum(state % 3 == BEGIN)))
             if len(held) >= 500:
                 yield pd.concat(held)
                 held = []
@@ -187,32 +188,34 @@ def _paths(model: Model):
 
 
 def decode(lines: DataFrame, model: Model, span: int = SPAN) -> DataFrame:
-    """lines (conv_id, line_no, line) with ``state`` and ``turn_no``, the turns numbered from 1 in each transcript."""
+    """lines (conv_id, line_no, line, and at, if lines share numbers) with ``state`` and ``turn_no``, the turns numbered from 1 in each transcript."""
     conv = F.xxhash64(F.col("conv_id").isNull(), "conv_id")
     number = F.coalesce(F.col("line_no"), F.lit(0).cast("long"))
-    rows = _featured(lines.select("conv_id", conv.alias("_conv"), number.alias("line_no"), F.floor(number / span).cast("long").alias("_chunk"), "line"), "conv_id", "_conv", "line_no", "_chunk")
+    at = F.col("at").cast("int") if "at" in lines.columns else F.lit(0)
+    rows = lines.select("conv_id", conv.alias("_conv"), number.alias("line_no"), at.alias("at"), F.floor(number / span).cast("long").alias("_chunk"), "line")
+    rows = _featured(rows, "conv_id", "_conv", "line_no", "at", "_chunk")
     rows = stored(rows, "transcript-lines")
     many = rows.groupBy("_conv").agg(F.min("_chunk").alias("_lo"), F.max("_chunk").alias("_hi")).filter("_lo < _hi").select("_conv", "_lo")
-    order = ["_conv", "_chunk", "line_no", "line"]
+    order = ["_conv", "_chunk", "line_no", "at", "line"]
     long = rows.join(many, "_conv").select(*order, *FEATURES, (F.col("_chunk") == F.col("_lo")).alias("_first")).repartition("_conv", "_chunk").sortWithinPartitions(*order)
     matrices = stored(long.mapInPandas(_matrices(model), "_conv long, _chunk long, matrix array<double>"), "transcript-matrices")
     bounds = matrices.repartition("_conv").sortWithinPartitions("_conv", "_chunk").mapInPandas(_bounds(model), "_conv long, _chunk long, _before int, _last int")
     rows = rows.join(bounds, ["_conv", "_chunk"], "left").fillna(-1, ["_before", "_last"])
-    out = rows.repartition("_conv", "_chunk").sortWithinPartitions(*order).mapInPandas(_paths(model), "conv_id long, _conv long, _chunk long, line_no long, line string, state int, _turn long")
+    out = rows.repartition("_conv", "_chunk").sortWithinPartitions(*order).mapInPandas(_paths(model), "conv_id long, _conv long, _chunk long, line_no long, at int, line string, state int, _turn long")
     out = stored(out, "transcript-states")
     turns = out.groupBy("_conv", "_chunk").agg(F.max("_turn").alias("_n"))
     turns = turns.select("_conv", "_chunk", (F.sum("_n").over(Window.partitionBy("_conv").orderBy("_chunk")) - F.col("_n")).alias("_ahead"))
     out = out.join(turns, ["_conv", "_chunk"])
-    return out.select("conv_id", "line_no", "line", "state", (F.col("_turn") + F.col("_ahead")).alias("turn_no"))
+    return out.select("conv_id", "line_no", "at", "line", "state", (F.col("_turn") + F.col("_ahead")).alias("turn_no"))
 
 
 def turns(decoded: DataFrame) -> DataFrame:
     """One row per turn: conv_id, turn_no, role, n_lines, content (without its marker), rendered."""
     text = F.when(F.col("state") % 3 == BEGIN, F.regexp_replace("line", ANY, "")).otherwise(F.col("line"))
-    at = F.struct("line_no", "line", text.alias("text"))
+    at = F.struct("line_no", "at", "line", text.alias("text"))
     role = F.element_at(F.array(*map(F.lit, ROLES)), (F.floor(F.col("state") / 3) + 1).cast("int"))
     df = decoded.groupBy("conv_id", "turn_no").agg(F.first(role).alias("role"), F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_list(at)).alias("_l"))
-    df = df.withColumn("content", F.regexp_replace(F.array_join(F.col("_l.text"), "\n"), r"^\s+|\s+$", "")).filter("content <> ''")
+    df = df.withColumn("content", F.trim(F.array_join(F.col("_l.text"), "\n"), F.lit(BLANK))).filter("content <> ''")
     return df.select("conv_id", "turn_no", "role", "n_lines", "content", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "content", F.lit("\n")).alias("rendered"))
 
 
@@ -231,12 +234,12 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
 
 def lines_of(raw: DataFrame) -> DataFrame:
     df = raw.select("conv_id", "turn", "role", F.size("_l").alias("n"), F.posexplode("_l").alias("at", "line"))
-    return df.withColumn("line_no", F.col("turn").cast("int") * F.lit(1 << WITHIN) + F.col("at"))
+    return df.withColumn("line_no", F.col("turn"))
 
 
 def with_next(raw: DataFrame) -> DataFrame:
     """Adds the role of the next turn."""
-    after = raw.select(F.col("conv_id").alias("_c"), (F.col("turn") - 1).alias("_t"), F.col("role").alias("next_role")).dropDuplicates(["_c", "_t"])
+    after = raw.select(F.col("conv_id").alias("_c"), F.try_subtract("turn", F.lit(1).cast("long")).alias("_t"), F.col("role").alias("next_role")).dropDuplicates(["_c", "_t"])
     return raw.join(after, raw["conv_id"].eqNullSafe(F.col("_c")) & (raw["turn"] == F.col("_t")), "left").drop("_c", "_t")
 
 
