@@ -56,6 +56,12 @@ def multi_bans(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.bans(multi_fails(spark, sf), V.JAILS)
 
 
+def with_bans(spark: SparkSession, sf: str, many: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Failures and bans of the standard jail, or of all; lines are matched once for both."""
+    f = written(multi_fails(spark, sf) if many else fails(spark, sf), "failures")
+    return f, timeline.bans(f, V.JAILS if many else V.STANDARD)
+
+
 def policy_table(spark: SparkSession) -> DataFrame:
     rows = [(j, p.enabled, p.max_retry, p.find_time, p.ban_time, p.restore, ["22"] if j == "sshd" else ["22", "2222"], "tcp") for j, p in V.JAILS.items()]
     rows.append(("disabled", False, 3, 600, 60, True, [], "tcp"))
@@ -412,7 +418,8 @@ def ban_expiry(spark, sf):
 @query(O.STANDARD + f" SELECT f.ip, f.jail, f.ts, f.seq FROM ({O.FAIL}) f WHERE EXISTS (SELECT 1 FROM bans b WHERE b.ip = f.ip AND b.jail = f.jail AND (f.ts, f.seq) > (b.banned_at, b.seq) AND f.ts < b.expires_at)")
 def suppressed_failures(spark, sf):
     """Failures of banned addresses, which are counted but not remembered."""
-    f, b = fails(spark, sf), bans(spark, sf).select(F.col("ip").alias("_ip"), F.col("jail").alias("_jail"), "banned_at", "expires_at", F.col("seq").alias("_seq"))
+    f, b = with_bans(spark, sf)
+    b = b.select(F.col("ip").alias("_ip"), F.col("jail").alias("_jail"), "banned_at", "expires_at", F.col("seq").alias("_seq"))
     later = (F.col("ts") > F.col("banned_at")) | ((F.col("ts") == F.col("banned_at")) & (F.col("seq") > F.col("_seq")))
     open_ = F.col("expires_at").isNull() | (F.col("ts") < F.col("expires_at"))
     return f.join(b, (F.col("ip") == F.col("_ip")) & (F.col("jail") == F.col("_jail")) & later & open_, "left_semi").select("ip", "jail", "ts", "seq")
@@ -553,14 +560,16 @@ def unknown_jail(spark, sf):
 
 @query(O.MULTI + f" SELECT f.ip, f.jail, f.seq FROM ({O.multi_fail(V.JAILS)}) f WHERE NOT EXISTS (SELECT 1 FROM bans b WHERE b.ip = f.ip AND b.jail = f.jail AND b.banned_at <= {T1} AND (b.expires_at IS NULL OR b.expires_at > {T1}))")
 def not_banned(spark, sf):
-    return multi_fails(spark, sf).join(timeline.active_at(multi_bans(spark, sf), T1).select("ip", "jail"), ["ip", "jail"], "left_anti").select("ip", "jail", "seq")
+    f, b = with_bans(spark, sf, True)
+    return f.join(timeline.active_at(b, T1).select("ip", "jail"), ["ip", "jail"], "left_anti").select("ip", "jail", "seq")
 
 
 @query(O.MULTI + f", n AS (SELECT ip, count(*) AS n FROM bans GROUP BY ip) SELECT f.ip, count(*) AS failures, coalesce(max(n.n), 0) AS bans FROM ({O.FAIL}) f LEFT JOIN n ON f.ip = n.ip GROUP BY f.ip")
 def join_ban_counts(spark, sf):
-    f = fails(spark, sf).groupBy("ip").agg(F.count(F.lit(1)).alias("failures"))
-    n = multi_bans(spark, sf).groupBy("ip").agg(F.count(F.lit(1)).alias("n"))
-    return f.join(n, "ip", "left").select("ip", "failures", F.coalesce("n", F.lit(0)).cast("long").alias("bans"))
+    f, b = with_bans(spark, sf, True)
+    failures_ = f.filter(F.col("jail") == "sshd").groupBy("ip").agg(F.count(F.lit(1)).alias("failures"))
+    n = b.groupBy("ip").agg(F.count(F.lit(1)).alias("n"))
+    return failures_.join(n, "ip", "left").select("ip", "failures", F.coalesce("n", F.lit(0)).cast("long").alias("bans"))
 
 
 @query(f"SELECT seq, ip FROM ({O.FAIL}) f WHERE {_number('ip')} BETWEEN 169082880 AND 169082887 OR {_number('ip')} BETWEEN 169083008 AND 169083135")
@@ -644,7 +653,7 @@ def active_at_each(spark, sf):
 
 @query(O.STANDARD + f" SELECT (SELECT count(*) FROM ({O.FAIL}) f) AS failures, (SELECT greatest({T2} - min(ts), 0) FROM ({O.FAIL}) f) AS uptime, count(*) FILTER (WHERE banned_at <= {T2}) AS bans, count(*) FILTER (WHERE ended_at <= {T2}) AS unbans, count(*) FILTER (WHERE banned_at <= {T2} AND (ended_at IS NULL OR ended_at > {T2})) AS active FROM bans")
 def stats_total(spark, sf):
-    return reports.stats_total(fails(spark, sf), bans(spark, sf), T2)
+    return reports.stats_total(*with_bans(spark, sf), T2)
 
 
 _BY = f"""SELECT j.jail, coalesce(f.n, 0) AS failures, coalesce(b.n, 0) AS bans, coalesce(b.a, 0) AS active FROM (SELECT unnest({['disabled', *V.JAILS]}) AS jail) j
@@ -654,12 +663,12 @@ LEFT JOIN (SELECT jail, count(*) FILTER (WHERE banned_at <= {T2}) AS n, count(*)
 
 @query(O.MULTI + " " + _BY)
 def stats_by_jail(spark, sf):
-    return reports.stats_by_jail(policy_table(spark), multi_fails(spark, sf), multi_bans(spark, sf), T2)
+    return reports.stats_by_jail(policy_table(spark), *with_bans(spark, sf, True), T2)
 
 
 @query(O.MULTI + f" SELECT jail, CAST(sum(failures) AS BIGINT) AS failures, CAST(sum(bans) AS BIGINT) AS bans, CAST(sum(active) AS BIGINT) AS active FROM ({_BY}) s GROUP BY ROLLUP (jail)")
 def stats_rollup(spark, sf):
-    df = reports.stats_by_jail(policy_table(spark), multi_fails(spark, sf), multi_bans(spark, sf), T2)
+    df = reports.stats_by_jail(policy_table(spark), *with_bans(spark, sf, True), T2)
     return df.rollup("jail").agg(*[F.sum(c).alias(c) for c in ("failures", "bans", "active")])
 
 
@@ -678,7 +687,7 @@ def approx_ips(spark, sf):
 @query(f"SELECT jail, ts // 86400 AS day, count(*) AS failures, true AS within FROM ({O.multi_fail(V.JAILS)}) f GROUP BY ALL UNION ALL SELECT jail, NULL, count(*), true FROM ({O.multi_fail(V.JAILS)}) f GROUP BY jail")
 def sketched_ips(spark, sf):
     """Distinct addresses a day and in all from sketches of hours, merged upward: within the sketch's error of the exact number."""
-    f = multi_fails(spark, sf)
+    f = written(multi_fails(spark, sf), "failures")
     hours = written(reports.sketches(f), "sketches")
     days = reports.merged_sketches(hours, "jail", F.floor(F.col("since") / 86400).alias("day"))
     whole = reports.merged_sketches(days.drop("addresses"), "jail").withColumn("day", F.lit(None).cast("long"))

@@ -17,7 +17,11 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written out and read again: a short lineage, and a short plan for what follows."""
+    """df written out and read again: a short lineage, and a short plan for what follows. What this returned before is not written twice."""
+    if "_written_at" in vars(df):
+        return df
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
