@@ -77,7 +77,7 @@ def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Replay:
     """Lines and commands that land part by part, each time a stream that takes up what has landed from where the last one stopped.
 
-    Every start reads its state from the checkpoint. At the end a line lands that is a year ahead, for the watermark to pass all others.
+    Every start reads its state from the checkpoint. With the last part a line lands that is a year ahead, for the watermark to pass all others.
     """
 
     def __init__(self, spark: SparkSession, jails: list[str], rows: DataFrame, commands: DataFrame | None = None):
@@ -103,26 +103,20 @@ class Replay:
 
     def run(self, *policies: Policies, initial: DataFrame | None = None, parts: int = LANDINGS) -> DataFrame:
         """All changes (kind, ip, ...). The n-th part is taken under the n-th policies, further ones under the last."""
+        newest = self.rows.agg(F.max("ts").alias("t")).first()["t"] or 0
+        ahead = F.date_format(F.timestamp_seconds(F.lit(newest + 366 * 86400)), "yyyy-MM-dd HH:mm:ss")
+        last = self.spark.range(1).select(F.lit(-1).cast("long").alias("seq"), F.concat(ahead, F.lit(" srv sshd[1]: Invalid user end from 0.0.0.0 port 1")).alias("line"))
         with state_store(self.spark):
-            logs = list(landings(self.rows, parts))
-            asked = list(landings(self.commands, parts)) if self.commands is not None else []
+            logs = [part.select("seq", "line") for part in landings(self.rows, parts)] or [self.rows.limit(0).select("seq", "line")]
+            # The line ahead lands with the last part: its batch still has the watermark of those before it.
+            logs[-1] = logs[-1].unionByName(last)
+            asked = list(landings(self.commands, len(logs))) if self.commands is not None else []
             for k, part in enumerate(logs):
-                part.select("seq", "line").write.parquet(f"{self.base}/log/{k}")
+                part.write.parquet(f"{self.base}/log/{k}")
                 if self.commands is not None:
-                    empty = self.commands.limit(0)
-                    (asked[k] if k < len(asked) else empty).select("ip", "jail", "ts", "seq", F.col("cmd").alias("kind")).write.parquet(f"{self.base}/commands/{k}")
-                if k + 1 < len(logs):
-                    self._go(policies[min(k, len(policies) - 1)], initial)
-            newest = self.rows.agg(F.max("ts").alias("t")).first()["t"] or 0
-            ahead = F.date_format(F.timestamp_seconds(F.lit(newest + 366 * 86400)), "yyyy-MM-dd HH:mm:ss")
-            last = self.spark.range(1).select(F.lit(-1).cast("long").alias("seq"), F.concat(ahead, F.lit(" srv sshd[1]: Invalid user end from 0.0.0.0 port 1")).alias("line"))
-            # The last lines and the one ahead of them land apart: the watermark follows a batch late.
-            if logs:
-                self._go(policies[min(len(logs) - 1, len(policies) - 1)], initial)
-            last.write.parquet(f"{self.base}/log/{parts}")
-            if self.commands is not None:
-                self.commands.limit(0).select("ip", "jail", "ts", "seq", F.col("cmd").alias("kind")).write.parquet(f"{self.base}/commands/{parts}")
-            out = self._go(policies[-1], initial)
+                    given = asked[k] if k < len(asked) else self.commands.limit(0)
+                    given.select("ip", "jail", "ts", "seq", F.col("cmd").alias("kind")).write.parquet(f"{self.base}/commands/{k}")
+                out = self._go(policies[min(k, len(policies) - 1)], initial)
         return self.spark.read.schema(out.schema).parquet(f"{self.base}/out")
 
 
