@@ -844,8 +844,8 @@ def stream_journal(spark, sf):
 
 @query(O.STANDARD + " SELECT ip, jail, banned_at, expires_at, ban_count FROM bans")
 def stream_bans(spark, sf):
-    """The tracker with keyed state, over lines that land in several parts, up to a day late and shuffled."""
-    return replay.tracked(spark, sf).filter("kind = 'ban'").select("ip", "jail", "banned_at", "expires_at", "ban_count")
+    """The tracker with keyed state, over lines that land shuffled; ``stream_changes`` has them in several parts, each up to a day late."""
+    return replay.tracked(spark, sf, 1).filter("kind = 'ban'").select("ip", "jail", "banned_at", "expires_at", "ban_count")
 
 
 @query(O.STANDARD + " SELECT banned_at AS ts, 'ban' AS kind, ip, jail, ban_time FROM bans UNION ALL SELECT ended_at, 'unban', ip, jail, NULL FROM bans WHERE ended_at IS NOT NULL")
