@@ -41,26 +41,27 @@ from .common import partitions, stored
 #: Counts up to CUT are discounted; a block has up to BLOCK tokens (or one document).
 CUT, BLOCK, HOT_SHARE = 5, 1 << 22, 4
 FOLDS, HELD = 7, 2
-#: Ids are packed as 32 bits and paired in 63; a larger vocabulary is an error, never a wrong number.
-MOST_WORDS = (1 << 31) - 2
+#: Two ids below this one fit a single signed number; larger ones are compared side by side.
+PAIRED = 1 << 31
 #: The word that ends a text; no word has white space.
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Unsigned 32-bit arrays, by byte planes, compressed."""
-    sizes = np.array([len(arrays), *map(len, arrays)], np.uint32)
-    planes = [np.ascontiguousarray(a.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays]
+    """Unsigned arrays of up to 64 bits, by byte planes, compressed; an array has four planes, or eight where a value needs them."""
+    widths = [8 if len(a) and int(a.max()) >> 32 else 4 for a in arrays]
+    sizes = np.array([len(arrays), *map(len, arrays), *widths], np.uint32)
+    planes = [np.ascontiguousarray(a.astype(f"<u{k}")).view(np.uint8).reshape(-1, k).T.tobytes() for a, k in zip(arrays, widths)]
     return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(planes))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(data)), np.uint8)
     k = int(raw[:4].view("<u4")[0])
-    sizes, at, out = raw[4 : 4 + 4 * k].view("<u4"), 4 + 4 * k, []
-    for n in map(int, sizes):
-        out.append(np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view("<u4").reshape(n))
-        at += 4 * n
+    sizes, at, out = raw[4 : 4 + 8 * k].view("<u4").tolist(), 4 + 8 * k, []
+    for n, width in zip(sizes[:k], sizes[k:]):
+        out.append(np.ascontiguousarray(raw[at : at + width * n].reshape(width, n).T).view(f"<u{width}").reshape(n))
+        at += width * n
     return out
 
 
@@ -224,7 +225,8 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     mark = np.concatenate([p[2] for p in parts]) if parts else empty
     times = np.concatenate([p[3] for p in parts]) if parts else empty
     block = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]) if parts else empty
-    order = np.argsort((v << 32) | w, kind="stable")
+    narrow = not len(v) or max(int(v.max()), int(w.max())) < PAIRED
+    order = np.argsort((v << 32) | w, kind="stable") if narrow else np.lexsort((w, v))
     v, w, mark, times, block = v[order], w[order], mark[order], times[order], block[order]
     first = np.flatnonzero((np.diff(v, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
     count = np.add.reduceat(np.where(mark & 1, 0, times), first) if len(first) else empty
@@ -341,8 +343,6 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, held: int = HELD) -> Da
     words = dealt.join(sizes, "part").select("word", (F.col("_before") + F.col("at") + 1).alias("id"))
     steps = dealt.groupBy("c").agg(F.count(F.lit(1)).alias("types")).toPandas()
     uni = Unigrams(steps["c"].to_numpy(dtype=np.int64), steps["types"].to_numpy(dtype=np.int64))
-    if steps["types"].sum() >= MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} words: their ids no longer fit")
     ends = dealt.filter(F.col("word") == int(END.view(np.int64))).select("c").first()
     uni.ends = int(ends["c"]) if ends else 0
     back = local.select("block", "at", "word").join(words, "word").select("block", "at", "id")
