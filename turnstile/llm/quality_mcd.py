@@ -32,10 +32,10 @@ SYMBOLS = "#*$%&|<>"
 #: statistic of less spread than its floor is not regular: the floor alone says how far from the others a row may be.
 FLOORS = (0.01, 0.05, 0.075, 0.10)
 DIM = len(FLOORS)
-#: Share of a group that an estimate rests on, concentration steps at most, squared distance that is too far (the 0.9999
-#: quantile of chi-square with DIM degrees of freedom), smallest group.
-COVER, STEPS, CUTOFF, MIN_GROUP = 0.75, 12, 23.513, 50
-#: Steps end where no group's determinant falls by more than this share of it.
+#: Share of a group that an estimate rests on, squared distance that is too far (the 0.9999 quantile of chi-square with DIM
+#: degrees of freedom), smallest group.
+COVER, CUTOFF, MIN_GROUP = 0.75, 23.513, 50
+#: Steps go on until no group's determinant falls by more than this share of it; the ridge bounds determinants from below, so they end.
 STILL = 1e-3
 #: Medians of the chi-square distributions with 1 to DIM degrees of freedom, one for each regular statistic of a group.
 #: CUTOFF is the stated quantile where all are regular, and a higher one where fewer are.
@@ -46,17 +46,9 @@ LEAST_SCALE = 0.5
 BINS = 32
 
 
-def _repeat_words(windows: Column, words: Column) -> Column:
-    """Words in 8-word windows that occur twice or more in the text.
-
-    Each window's hash keeps its upper bits and takes its position as the lower ones; sorting
-    puts equal windows side by side in linear memory.
-    """
-    bits = F.length(F.bin(F.size(windows)))
-    packed = F.sort_array(
-        F.transform(windows, lambda h, i: F.call_function("shiftleft", F.call_function("shiftright", h, bits), bits).bitwiseOR(i.cast("long")))
-    )
-    return packed, bits
+def _places(windows: Column) -> Column:
+    """The windows' whole hashes with their places from 1, sorted, so that equal windows are side by side."""
+    return F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("hash"), (i + 1).alias("at"))))
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -75,16 +67,14 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     at = lambda i: F.xxhash64(*[F.element_at("_hashes", (i + k).cast("int")) for k in range(WINDOW)])
     windows = F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(1).cast("long"), F.col("n_words") - (WINDOW - 1)), at)).otherwise(F.array().cast("array<bigint>"))
     df = df.select(*keep, "n_words", "word_chars", "n_symbols", F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), windows.alias("_windows"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    packed, bits = _repeat_words(F.col("_windows"), F.col("n_words"))
-    df = df.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", bits.alias("_bits"), F.when(repeats, packed).alias("_packed"))
-    high = lambda x: F.call_function("shiftright", x, F.col("_bits"))
-    near = lambda i, d: F.get("_packed", (i + d).cast("int"))
-    same = F.filter("_packed", lambda x, i: F.coalesce(high(near(i, -1)) == high(x), F.lit(False)) | F.coalesce(high(near(i, 1)) == high(x), F.lit(False)))
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1
-    df = df.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.sort_array(F.transform(same, lambda x: x.bitwiseAND(low))).alias("_starts"))
+    df = df.select(*keep, *counts, F.when(repeats, _places(F.col("_windows"))).alias("_places"))
+    near = lambda i, d: F.get("_places", (i + d).cast("int"))["hash"]
+    same = F.filter("_places", lambda x, i: F.coalesce(near(i, -1) == x["hash"], F.lit(False)) | F.coalesce(near(i, 1) == x["hash"], F.lit(False)))
+    df = df.select(*keep, *counts, F.sort_array(F.transform(same, lambda x: x["at"])).alias("_starts"))
     covered = F.aggregate(
-        F.transform("_starts", lambda p, i: F.least(F.lit(WINDOW).cast("long"), F.coalesce(F.get("_starts", (i + 1).cast("int")) - p, F.lit(WINDOW).cast("long")))),
+        F.transform("_starts", lambda p, i: F.least(F.lit(WINDOW).cast("long"), F.coalesce((F.get("_starts", (i + 1).cast("int")) - p).cast("long"), F.lit(WINDOW).cast("long")))),
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
@@ -158,14 +148,14 @@ def _moments(df: DataFrame) -> DataFrame:
     return df.groupBy("_group").agg(*aggs)
 
 
-def judged(stats: DataFrame, lang: str = "lang", source: str = "source", cover: float = COVER, steps: int = STEPS, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+def judged(stats: DataFrame, lang: str = "lang", source: str = "source", cover: float = COVER, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
     """stats (a stored table) with ``distance2`` (null where no estimate was made) and ``kept``."""
     usable = stats.filter(~F.col("base_failed"))
     label = lambda c: F.concat(F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.lit("v")), F.coalesce(F.col(c).cast("string"), F.lit("")))
     own = F.concat_ws("\u0001", label(lang), label(source))
     pools = usable.groupBy(own.alias("_own"), label(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
     pools = pools.withColumn("_key", F.when(F.col("_n") >= min_group, F.col("_own")).otherwise(F.col("_lang")))
-    pools = pools.withColumn("_total", F.sum("_n").over(Window.partitionBy("_key")))
+    pools = pools.join(pools.groupBy("_key").agg(F.sum("_n").alias("_total")), "_key")
     pools = pools.select("_own", F.when(F.col("_total") >= min_group, F.col("_key")).otherwise(F.lit("rest")).alias("_group"))
     pools = stored(pools, "quality-groups")
     x = usable.withColumn("_own", own).join(pools, "_own").select("_group", *[c.alias(f"_x{i}") for i, c in enumerate(_vector())])
@@ -189,7 +179,8 @@ def judged(stats: DataFrame, lang: str = "lang", source: str = "source", cover:
             state = state.withColumn(f"_c{i}{j}", F.lit(0.0))
     state = stored(_cholesky(state), "quality-start")
     # Concentration: the mean and covariance of the closest rows lower the determinant step by step.
-    for _ in range(steps):
+    done = False
+    while not done:
         far = _with_distance(x, state)
         cut = stored(_cuts(far, {"_cut": cover}), "quality-cut")
         close = far.join(cut, "_group").filter(_bin(F.col("_d2")) <= F.col("_cut"))
@@ -197,8 +188,6 @@ def judged(stats: DataFrame, lang: str = "lang", source: str = "source", cover:
         falls = state.select("_group", _log_det().alias("_now")).join(last.select("_group", _log_det().alias("_was")), "_group").filter(F.col("_now") < F.col("_was") + math.log1p(-STILL))
         done = falls.isEmpty()
         removed(last, cut)
-        if done:
-            break
     # Distances are scaled so that their median is that of a normal sample in the regular statistics.
     far = _with_distance(x, state)
     half = F.pow(F.lit(2.0), (F.col("_half") + 0.5) / BINS)
