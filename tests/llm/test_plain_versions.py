@@ -6,10 +6,11 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from turnstile.llm import addressable_codes, mix_sources, near_dedup, order_minhash, pieces, quality_mcd, sentence_spans, transcripts, url_filter
+from turnstile.llm import addressable_codes, katz_lm, mix_sources, near_dedup, order_minhash, pieces, quality_mcd, sentence_spans, transcripts, url_filter
 from turnstile.llm.common import fresh
 from turnstile.llm.vocabulary import piece_model, word_model
 
@@ -138,7 +139,7 @@ def plain_mcd(x, cover=quality_mcd.COVER):
         low = np.linalg.cholesky(cov + np.diag(floors**2))
         return (np.linalg.solve(low, (x - centre).T) ** 2).sum(0), np.log(np.diag(low)).sum()
 
-    for _ in range(quality_mcd.STEPS):
+    while True:
         d2, before = distance(centre, cov)
         b = bins(d2)
         close = x[b <= np.sort(b)[math.ceil(n * cover) - 1]]
@@ -209,6 +210,61 @@ def test_8_long_turns_stay_apart_and_turns_may_repeat(spark):
     assert transcripts.parse_conversations(conv.filter("conv_id = 2")).agg(F.sum(F.size(F.split("content", "same")) - 1)).first()[0] == 2
 
 
+def test_8_chunks_are_cut_by_lines(spark):
+    rng = np.random.default_rng(9)
+    s = transcripts.STATES
+    model = transcripts.Model(rng.random(s), rng.random((s, s)), [rng.random((s, v)) for v in transcripts.VALUES])
+    line = lambda: str(rng.choice(["", "User: hi?", "A: yes.", "some words here", "###  User", "why not:", "x " * 15]))
+    # Turns of one line and of hundreds, in one block of numbers; places that are null, and lines that share a place.
+    sizes = {1: [3, 700, 1, 0, 90], 2: [2, 1, 4], 3: [40] * 70}
+    rows = [(c, t, k, line()) for c, turns in sizes.items() for t, n in enumerate(turns) for k in range(n)] + [(2, 1, None, "A: first?"), (2, 1, 0, None), (2, None, 0, "b")]
+    lines = spark.createDataFrame(rows, "conv_id long, line_no long, at int, line string").repartition(3)
+    cut = transcripts._chunked(lines.selectExpr("conv_id AS _conv", "coalesce(line_no, 0) AS line_no", "coalesce(at, 0)::long AS at", "line"), 64, 16)
+    assert cut.groupBy("_conv", "_chunk", "_piece").count().agg(F.max("count")).first()[0] <= 16
+    found = transcripts.decode(lines, model, 64, 16).collect()
+    assert len(found) == len(rows)
+    for c in sizes:
+        mine = sorted((r["line_no"], r["at"], r["line"] or "", r["state"], r["turn_no"]) for r in found if r["conv_id"] == c)
+        assert [m[:3] for m in mine] == sorted((t or 0, k or 0, x or "") for i, t, k, x in rows if i == c)
+        f = transcripts._featured(spark.createDataFrame([(i, m[2]) for i, m in enumerate(mine)], "i int, line string"), "i").orderBy("i").toPandas()[transcripts.FEATURES].to_numpy()
+        e = model.emission(f)
+        score = lambda p: model.start[p[0]] + e[0, p[0]] + sum(model.moves[a, b] + e[i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:])))  # noqa: B023,E731
+        path = [m[3] for m in mine]
+        # Paths may tie; the one found is as good as the best over the whole transcript, and its turns are numbered without a gap.
+        assert abs(score(path) - score(transcripts.viterbi(model, f).tolist())) < 1e-6
+        assert [m[4] for m in mine] == np.cumsum(np.array(path) % 3 == transcripts.BEGIN).tolist()
+
+
+def test_1_ids_beyond_32_bits(monkeypatch):
+    rng = np.random.default_rng(1)
+    wide = [np.array([0, 1 << 33, 5, (1 << 62) + 1]), rng.integers(0, 1 << 32, 50), np.empty(0, np.int64), np.arange(9)]
+    assert all(np.array_equal(a, b) for a, b in zip(wide, katz_lm.unpack(katz_lm.pack(*wide))))
+
+    def merged(far):
+        rng = np.random.default_rng(2)
+        rows = []
+        for block in range(3):
+            v, w = rng.integers(0, 6, 40) * far, rng.integers(1, 5, 40) * far
+            order = np.lexsort((w, v))
+            rows.append((0, block, None, 0, katz_lm.pack(np.diff(v[order], prepend=0), w[order], rng.integers(0, 20, 40), rng.integers(1, 4, 40))))
+        out = katz_lm._merged(pd.DataFrame(rows, columns=["part", "block", "docs", "n_ids", "pairs"])).iloc[0]
+        v, w, count, times = katz_lm.unpack(out["bigrams"])
+        return (np.cumsum(v.astype(np.int64)) // far).tolist(), (w.astype(np.int64) // far).tolist(), count.tolist(), times.tolist(), [x.tolist() for x in katz_lm.unpack(out["postings"])], [out[f"n{r}"] for r in range(1, 7)]
+
+    near = merged(1)
+    assert merged(1 << 34) == near
+    monkeypatch.setattr(katz_lm, "PAIRED", 0)
+    assert merged(1) == near
+
+
+def test_4_repeats_in_a_long_text_are_exact(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{x}" for x in rng.integers(0, 1 << 40, 300_000)]
+    words[200_000:200_009] = words[100:109]
+    n = {r["n_repeat_words"] for r in quality_mcd.statistics(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:1000]))], "doc_id long, text string"), ["doc_id"]).collect()}
+    assert n == {18, 0}
+
+
 def test_7_other_vocabularies_encode_whole_texts(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer

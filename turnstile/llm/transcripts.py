@@ -5,12 +5,14 @@ length, how it ends. A hidden state is a role and a part of a turn (its first li
 Emission and transition probabilities are counted on labelled transcripts; the most likely states of a transcript
 are found by Viterbi's recursion; turns are read off and rendered in one canonical form.
 
-A transcript is dealt in chunks of SPAN line numbers (turns, where lines are numbered within turns); a turn is not cut. A chunk's best scores between all pairs of states make a matrix; the
-matrices of a transcript, one small row a chunk, are folded to find the states at the chunks' ends, and the chunks are then
-decoded on their own. The result is that of one pass over the whole transcript.
+A transcript is dealt in chunks of SPAN line numbers (turns, where lines are numbered within turns); where these have more than
+MOST lines, each turn is cut after every MOST places of its own. So no chunk has more than MOST lines, unless more share one number and
+place. A chunk's best scores between all pairs of states make a matrix; the matrices of a transcript, one small row a chunk, are folded
+to find the states at the chunks' ends, and the chunks are then decoded on their own. The result is that of one pass over the whole
+transcript.
 
 Cases: a null line counts as empty; lines with the same number are ordered by their place within it (``at``, if there is one), then by
-their text; a null conv_id is a transcript of its own. Numbers may be negative and of any size; a null one counts as 0. A transcript of
+their text, where a null place counts as 0; a null conv_id is a transcript of its own. Numbers may be negative and of any size; a null one counts as 0. A transcript of
 blank lines only has no turn. Without labelled lines probabilities are uniform.
 Extra columns are not read.
 """
@@ -36,8 +38,8 @@ MARKER = r"(?i)^\s*(?:#+\s*({0})\s*:?\s*$|[*_]*({0})[*_]*\s*:\s*)"
 ANY = MARKER.format("|".join(NAMES[r] for r in ROLES))
 #: Values of each feature: marker (none, by role, some other name), words, end.
 VALUES = (5, 5, 5)
-#: Line numbers that a chunk spans.
-SPAN = 64
+#: Line numbers that a chunk spans, and lines that it has at most.
+SPAN, MOST = 64, 4096
 BLANK = " \t\n\x0b\f\r"
 
 
@@ -124,18 +126,19 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield pd.concat(rest)
 
 
+CHUNK = ["_conv", "_chunk", "_piece"]
 FEATURES = [f"_f{k}" for k in range(len(VALUES))]
 
 
 def _matrices(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["_conv", "_chunk"]):
+        for g in _groups(batches, CHUNK):
             best = None
             for e in model.emission(g[FEATURES].to_numpy()):
                 # Nothing comes before a transcript's first line; its row is the state of that line itself.
                 step = np.where(np.eye(STATES, dtype=bool), e, -1e9) if best is None and g["_first"].iloc[0] else model.moves + e
                 best = step if best is None else (best[:, :, None] + step[None]).max(1)
-            yield pd.DataFrame({"_conv": [g["_conv"].iloc[0]], "_chunk": [g["_chunk"].iloc[0]], "matrix": [best.ravel()]})
+            yield g[CHUNK].iloc[:1].assign(matrix=[best.ravel()])
 
     return run
 
@@ -151,7 +154,7 @@ def _bounds(model: Model):
             for k in range(len(matrices) - 1, 0, -1):
                 ends.append(int((scores[k] + matrices[k][:, ends[-1]]).argmax()))
             ends.reverse()
-            yield pd.DataFrame({"_conv": g["_conv"].to_numpy(), "_chunk": g["_chunk"].to_numpy(), "_before": np.array([-1, *ends[:-1]], np.int32), "_last": np.array(ends, np.int32)})
+            yield g[CHUNK].assign(_before=np.array([-1, *ends[:-1]], np.int32), _last=np.array(ends, np.int32))
 
     return run
 
@@ -175,9 +178,9 @@ def viterbi(model: Model, f: np.ndarray, before: int = -1, last: int = -1) -> np
 def _paths(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        for g in _groups(batches, ["_conv", "_chunk"]):
+        for g in _groups(batches, CHUNK):
             state = viterbi(model, g[FEATURES].to_numpy(), int(g["_before"].iloc[0]), int(g["_last"].iloc[0]))
-            held.append(g[["conv_id", "_conv", "_chunk", "line_no", "at", "line"]].assign(state=state.astype(np.int32), _turn=np.cumsum(state % 3 == BEGIN)))
+            held.append(g[["conv_id", *CHUNK, "line_no", "at", "line"]].assign(state=state.astype(np.int32), _turn=np.cumsum(state % 3 == BEGIN)))
             if len(held) >= 500:
                 yield pd.concat(held)
                 held = []
@@ -187,25 +190,36 @@ def _paths(model: Model):
     return run
 
 
-def decode(lines: DataFrame, model: Model, span: int = SPAN) -> DataFrame:
+def _chunked(rows: DataFrame, span: int, most: int) -> DataFrame:
+    """Adds ``_chunk`` and ``_piece``; chunks in this order hold the lines in theirs."""
+    number, at = F.col("line_no"), F.col("at")
+    first = number - F.pmod(number, F.lit(span).cast("long"))
+    full = stored(rows.groupBy("_conv", first.alias("_block")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select("_conv", "_block", F.lit(True).alias("_full")), "transcript-full")
+    rows = rows.withColumn("_block", first).join(full, ["_conv", "_block"], "left")
+    chunk = F.when(F.col("_full"), number).otherwise(F.col("_block"))
+    piece = F.when(F.col("_full"), at - F.pmod(at, F.lit(most).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return rows.withColumn("_chunk", chunk).withColumn("_piece", piece).drop("_block", "_full")
+
+
+def decode(lines: DataFrame, model: Model, span: int = SPAN, most: int = MOST) -> DataFrame:
     """lines (conv_id, line_no, line, and at, if lines share numbers) with ``state`` and ``turn_no``, the turns numbered from 1 in each transcript."""
     conv = F.xxhash64(F.col("conv_id").isNull(), "conv_id")
-    number = F.coalesce(F.col("line_no"), F.lit(0).cast("long"))
-    at = F.col("at").cast("int") if "at" in lines.columns else F.lit(0)
-    rows = lines.select("conv_id", conv.alias("_conv"), number.alias("line_no"), at.alias("at"), F.floor(number / span).cast("long").alias("_chunk"), "line")
-    rows = _featured(rows, "conv_id", "_conv", "line_no", "at", "_chunk")
-    rows = stored(rows, "transcript-lines")
-    many = rows.groupBy("_conv").agg(F.min("_chunk").alias("_lo"), F.max("_chunk").alias("_hi")).filter("_lo < _hi").select("_conv", "_lo")
-    order = ["_conv", "_chunk", "line_no", "at", "line"]
-    long = rows.join(many, "_conv").select(*order, *FEATURES, (F.col("_chunk") == F.col("_lo")).alias("_first")).repartition("_conv", "_chunk").sortWithinPartitions(*order)
-    matrices = stored(long.mapInPandas(_matrices(model), "_conv long, _chunk long, matrix array<double>"), "transcript-matrices")
-    bounds = matrices.repartition("_conv").sortWithinPartitions("_conv", "_chunk").mapInPandas(_bounds(model), "_conv long, _chunk long, _before int, _last int")
-    rows = rows.join(bounds, ["_conv", "_chunk"], "left").fillna(-1, ["_before", "_last"])
-    out = rows.repartition("_conv", "_chunk").sortWithinPartitions(*order).mapInPandas(_paths(model), "conv_id long, _conv long, _chunk long, line_no long, at int, line string, state int, _turn long")
+    zero = F.lit(0).cast("long")
+    at = F.coalesce(F.col("at").cast("long"), zero) if "at" in lines.columns else zero
+    rows = lines.select("conv_id", conv.alias("_conv"), F.coalesce(F.col("line_no").cast("long"), zero).alias("line_no"), at.alias("at"), "line")
+    rows = _chunked(stored(_featured(rows, "conv_id", "_conv", "line_no", "at"), "transcript-lines"), span, most)
+    place = F.struct("_chunk", "_piece")
+    many = rows.groupBy("_conv").agg(F.min(place).alias("_lo"), F.max(place).alias("_hi")).filter("_lo < _hi").select("_conv", "_lo")
+    order = [*CHUNK, "line_no", "at", "line"]
+    long = rows.join(many, "_conv").select(*order, *FEATURES, (place == F.col("_lo")).alias("_first")).repartition(*CHUNK).sortWithinPartitions(*order)
+    matrices = stored(long.mapInPandas(_matrices(model), "_conv long, _chunk long, _piece long, matrix array<double>"), "transcript-matrices")
+    bounds = matrices.repartition("_conv").sortWithinPartitions(*CHUNK).mapInPandas(_bounds(model), "_conv long, _chunk long, _piece long, _before int, _last int")
+    rows = rows.join(bounds, CHUNK, "left").fillna(-1, ["_before", "_last"])
+    out = rows.repartition(*CHUNK).sortWithinPartitions(*order).mapInPandas(_paths(model), "conv_id long, _conv long, _chunk long, _piece long, line_no long, at long, line string, state int, _turn long")
     out = stored(out, "transcript-states")
-    turns = out.groupBy("_conv", "_chunk").agg(F.max("_turn").alias("_n"))
-    turns = turns.select("_conv", "_chunk", (F.sum("_n").over(Window.partitionBy("_conv").orderBy("_chunk")) - F.col("_n")).alias("_ahead"))
-    out = out.join(turns, ["_conv", "_chunk"])
+    turns = out.groupBy(*CHUNK).agg(F.max("_turn").alias("_n"))
+    turns = turns.select(*CHUNK, (F.sum("_n").over(Window.partitionBy("_conv").orderBy("_chunk", "_piece")) - F.col("_n")).alias("_ahead"))
+    out = out.join(turns, CHUNK)
     return out.select("conv_id", "line_no", "at", "line", "state", (F.col("_turn") + F.col("_ahead")).alias("turn_no"))
 
 
