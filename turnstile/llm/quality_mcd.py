@@ -35,7 +35,7 @@ DIM = len(FLOORS)
 #: Share of a group that an estimate rests on, squared distance that is too far (the 0.9999 quantile of chi-square with DIM
 #: degrees of freedom), smallest group.
 COVER, CUTOFF, MIN_GROUP = 0.75, 23.513, 50
-#: Steps go on until no group's determinant falls by more than this share of it; the ridge bounds determinants from below, so they end.
+#: A group's steps go on while its determinant falls by more than this share of it; the ridge bounds it from below, so they end.
 STILL = 1e-3
 #: Medians of the chi-square distributions with 1 to DIM degrees of freedom, one for each regular statistic of a group.
 #: CUTOFF is the stated quantile where all are regular, and a higher one where fewer are.
@@ -177,17 +177,20 @@ def judged(stats: DataFrame, lang: str = "lang", source: str = "source", cover:
     for i in range(DIM):
         for j in range(i):
             state = state.withColumn(f"_c{i}{j}", F.lit(0.0))
-    state = stored(_cholesky(state), "quality-start")
-    # Concentration: the mean and covariance of the closest rows lower the determinant step by step.
-    done = False
-    while not done:
-        far = _with_distance(x, state)
+    state = stored(_cholesky(state).withColumn("_open", F.lit(True)), "quality-start")
+    # Concentration: the mean and covariance of the closest rows lower the determinant step by step. A group is done with the first
+    # step that does not, and is left alone from then on.
+    while not state.filter("_open").isEmpty():
+        going = state.filter("_open")
+        far = _with_distance(x, going)
         cut = stored(_cuts(far, {"_cut": cover}), "quality-cut")
         close = far.join(cut, "_group").filter(_bin(F.col("_d2")) <= F.col("_cut"))
-        last, state = state, stored(_cholesky(_moments(close)), "quality-step")
-        falls = state.select("_group", _log_det().alias("_now")).join(last.select("_group", _log_det().alias("_was")), "_group").filter(F.col("_now") < F.col("_was") + math.log1p(-STILL))
-        done = falls.isEmpty()
+        stepped = _cholesky(_moments(close)).join(going.select("_group", _log_det().alias("_was")), "_group")
+        stepped = stepped.withColumn("_open", _log_det() < F.col("_was") + math.log1p(-STILL)).drop("_was")
+        last, state = state, stored(state.filter("NOT _open").unionByName(stepped), "quality-step")
         removed(last, cut)
+    ended = state
+    state = state.drop("_open")
     # Distances are scaled so that their median is that of a normal sample in the regular statistics.
     far = _with_distance(x, state)
     half = F.pow(F.lit(2.0), (F.col("_half") + 0.5) / BINS)
@@ -198,7 +201,7 @@ def judged(stats: DataFrame, lang: str = "lang", source: str = "source", cover:
     sizes = x.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows"))
     model = pools.join(state.drop("_dof").join(scale, "_group").join(sizes, "_group"), "_group")
     model = stored(model.withColumn("_scale2", F.col("_scale")).drop("_scale"), "quality-model")
-    removed(half_way, state, x, pools)
+    removed(half_way, ended, x, pools)
     out = stats.withColumn("_own", F.when(~F.col("base_failed"), own)).join(model, "_own", "left")
     for i, c in enumerate(_vector()):
         out = out.withColumn(f"_x{i}", c)
