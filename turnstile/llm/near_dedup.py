@@ -10,7 +10,12 @@ against the place's first one; of a place whose other members are then still in
 join, which is exact, with rounds of the same kind ahead of it. Two sets can only be as similar as the threshold if the smaller one's first n - ceil(2t / (1 + t) * n) + 1
 shingles and the larger one's first n - ceil(t * n) + 1 share one, in a common order from the rarest to the most
 frequent. So rows are cut by their places in that order before they meet, and copies that were changed too much to be links have
-rare shingles of their own there and meet nobody.
+rare shingles of their own there and meet nobody. The first round holds each member against the one with the fewest rare shingles,
+which of copies of one text is the one that is closest to it; later rounds take any.
+
+Each set also has a bitmap: the parity of the number of its hashes at each of PARITY bits. Bits in which two bitmaps differ are never more
+than the shingles that only one of the two sets has, so pairs that differ in too many for a link go before they become rows. That loses no
+link: it is a bound, not an estimate.
 
 Cases: null or empty texts, and texts without a word, have no shingles, link with nothing and are kept; a text with fewer
 words than a shingle is one shingle. A null id links with nothing, has a null component and is kept. Rows that share
@@ -33,6 +38,8 @@ from .common import fresh, removed, stored
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 4
 BANDS = REGISTERS // ROWS
+#: Bits of a set's bitmap, in 64-bit words.
+PARITY = 1024
 #: Rounds, at most, in which members are held against one of them; they end where less than one try in FRUITFUL is a link.
 ROUNDS, FRUITFUL = 4, 10
 #: Rows that a task works on at a time.
@@ -90,6 +97,17 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """For each of PARITY bits, whether an odd number of hashes fall on it; as 64-bit words."""
+    return np.packbits(np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) % 2 == 1).view(np.int64)
+
+
+def may_link(a: str, b: str, n_a: str, n_b: str, threshold: int) -> Column:
+    """False if two sets are no link, as their bitmaps differ in more bits than shingles may be in one set only."""
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PARITY // 64)), F.lit(0))
+    return differ * (100 + threshold) <= (100 - threshold) * (F.col(n_a) + F.col(n_b))
+
+
 def bands(regs: str) -> Column:
     """A key for each band of ROWS registers (ROWS * 2 bytes)."""
     return F.array(*[F.xxhash64(F.lit(i), F.substring(regs, 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)])
@@ -107,9 +125,9 @@ def _signatures(k: int):
             rows = []
             for text in pdf["text"]:
                 s = shingles(text, k)
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes()) if len(s) else (0, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "regs"])
-            yield out.assign(doc_id=pdf["doc_id"].astype("Int64").array, spot=pdf["spot"].array)[["doc_id", "spot", "n_shingles", "digest", "regs"]]
+                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), registers(s).tobytes(), parity(s)) if len(s) else (0, None, None, None))
+            out = pd.DataFrame(rows, columns=["n_shingles", "digest", "regs", "parity"])
+            yield out.assign(doc_id=pdf["doc_id"].astype("Int64").array, spot=pdf["spot"].array)[["doc_id", "spot", "n_shingles", "digest", "regs", "parity"]]
 
     return run
 
@@ -122,7 +140,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """One row per row of docs, with a number of its own (node)."""
-    out = keyed(docs).mapInPandas(_signatures(k), "doc_id long, spot long, n_shingles long, digest binary, regs binary")
+    out = keyed(docs).mapInPandas(_signatures(k), "doc_id long, spot long, n_shingles long, digest binary, regs binary, parity array<long>")
     return out.withColumn("node", F.monotonically_increasing_id())
 
 
@@ -211,8 +229,10 @@ def _texts_of(nodes: DataFrame, lead: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, lead: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """The pairs of nodes (a, b) that are links: estimated, then confirmed on the full sets."""
-    regs = lambda x: lead.select(F.col("node").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    close = stored(pairs.join(regs("a"), "a").join(regs("b"), "b").mapInPandas(_estimate(threshold), "a long, b long"), "near-close")
+    regs = lambda x: lead.select(F.col("node").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("parity").alias(f"parity_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    near = pairs.join(regs("a"), "a").join(regs("b"), "b").filter(may_link("parity_a", "parity_b", "n_a", "n_b", threshold))
+    near = near.select("a", "b", "regs_a", "regs_b", "n_a", "n_b")
+    close = stored(near.mapInPandas(_estimate(threshold), "a long, b long"), "near-close")
     text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
     full = close.hint("merge").join(text("b"), "b").hint("merge").join(text("a"), "a")
     out = stored(full.select("a", "b", "text_a", "text_b").mapInPandas(_confirm(k, threshold), "a long, b long"), "near-links")
@@ -255,11 +275,19 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return stored(comp.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "near-members")
 
 
+def _enough(x: str, y: str, threshold: int) -> Column:
+    """Whether two sets that meet at a shingle of their prefixes can share enough. What they share is that shingle and what follows it, if it is their
+    first; a later one says less.
+    """
+    shared = 1 + F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
+    return shared * (100 + threshold) >= threshold * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 def _by_prefix(here: DataFrame, lead: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """All further links (a, b) that bring together components among the members (key, node, component) of places; exact.
 
     First, in rounds, the members of each shingle of a prefix are held against one of them, which brings most components
-    together in linear work. What is then left apart is joined in full; one side of that join is of the nodes outside their place's
+    together in linear work; in the first round that is the one in whose order the shingle comes first. What is then left apart is joined in full; one side of that join is of the nodes outside their place's
     largest component, as each pair of different components has one.
     """
     comp = stored(here.select("node", "component").distinct(), "near-members")
@@ -267,15 +295,16 @@ def _by_prefix(here: DataFrame, lead: DataFrame, texts: DataFrame, k: int, thres
     placed = _prefixes(own, k, threshold)
     links = None
     for turn in range(ROUNDS):
-        live = placed.select("node", "shingle", "n").join(comp, "node")
-        pivot = F.max_by(F.struct("node", "component", "n"), F.xxhash64("node", "shingle", F.lit(turn))).alias("p")
+        live = stored(placed.select("node", "shingle", "n", "at").join(comp, "node"), "near-live")
+        first = F.xxhash64("node", "shingle", F.lit(turn))
+        pivot = F.max_by(F.struct("node", "component", "n", "at"), F.struct(-F.col("at"), first) if turn == 0 else first).alias("p")
         groups = stored(live.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot).filter("lo <> hi").select("shingle", "p"), "near-pivots")
         alike = (100 * F.col("p.n") >= threshold * F.col("n")) & (100 * F.col("n") >= threshold * F.col("p.n"))
-        tried = live.join(groups, "shingle").filter((F.col("component") != F.col("p.component")) & alike)
+        tried = live.alias("m").join(groups, "shingle").filter((F.col("component") != F.col("p.component")) & alike & _enough("m", "p", threshold))
         tried = stored(tried.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct(), "near-tried")
         found = _links(tried, lead, own, k, threshold)
         n_found, n_tried = found.count(), tried.count()
-        removed(groups, tried)
+        removed(live, groups, tried)
         links = found if links is None else links.union(found)
         if n_found:
             comp = _merged(comp, found)
@@ -285,7 +314,8 @@ def _by_prefix(here: DataFrame, lead: DataFrame, texts: DataFrame, k: int, thres
     counts = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     most = stored(counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most")), "near-most")
     rest = stored(here.join(most, "key").filter("component <> most").select("node").distinct(), "near-rest")
-    full = stored(placed.join(comp, "node").join(rest.withColumn("odd", F.lit(True)), "node", "left").withColumn("odd", F.coalesce("odd", F.lit(False))), "near-prefixes")
+    of = comp.join(rest.withColumn("odd", F.lit(True)), "node", "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
+    full = stored(placed.join(of.join(lead.select("node", "parity"), "node"), "node"), "near-prefixes")
     met = None
     for odd_side in ("x", "y"):
         # x: the larger set with its long prefix; y: the smaller one with its short prefix.
@@ -293,10 +323,8 @@ def _by_prefix(here: DataFrame, lead: DataFrame, texts: DataFrame, k: int, thres
         x, y = (x.filter("odd"), y) if odd_side == "x" else (x, y.filter("odd"))
         x, y = x.alias("x"), y.alias("y")
         alike = (F.col("y.n") <= F.col("x.n")) & (100 * F.col("y.n") >= threshold * F.col("x.n"))
-        # What two sets share is the shingle they meet at and what follows it, if it is their first; a later one says less.
-        shared = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-        enough = shared * (100 + threshold) >= threshold * (F.col("x.n") + F.col("y.n"))
-        pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & alike & enough)
+        possible = alike & _enough("x", "y", threshold) & may_link("x.parity", "y.parity", "x.n", "y.n", threshold)
+        pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & possible)
         pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         met = pairs if met is None else met.union(pairs)
     met = stored(met.distinct(), "near-met")
@@ -314,7 +342,7 @@ def near_table(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
     known = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # A node stands for all rows with its set; rep is the smallest id that has it.
     sets = stored(known.groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"), F.max("doc_id").alias("high")), "near-sets")
-    lead = stored(known.join(sets.select("node", "rep"), "node").select("node", "rep", "doc_id", "spot", "n_shingles", "regs"), "near-leads")
+    lead = stored(known.join(sets.select("node", "rep"), "node").select("node", "rep", "doc_id", "spot", "n_shingles", "regs", "parity"), "near-leads")
     equal = known.join(sets.filter("rep <> high").select("digest", "rep"), "digest").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     places = lead.select("node", F.explode(bands("regs")).alias("key"))
     low = stored(places.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).filter("n > 1").select("key", "low"), "near-places")
