@@ -152,7 +152,9 @@ def all_rows(failures: DataFrame, policies: Policies, commands: DataFrame | None
         if commands is not None:
             hits = hits.union(commands.select("ip"))
         rows = rows.join(hits.distinct(), "ip", "left_semi")
-    rows = rows.repartition("ip").sortWithinPartitions("ip", "ts", "seq", "jail", "kind")
+    # By a hash of its own: an exchange by the join's very key is taken for the join's and left out, and an adaptive plan that then
+    # broadcasts the hits reads that one by mapper, which spreads an address over several folds.
+    rows = rows.repartition(F.xxhash64("ip")).sortWithinPartitions("ip", "ts", "seq", "jail", "kind")
     return written(rows.mapInPandas(fold(policies), SCHEMA), "timeline")
 
 
