@@ -9,7 +9,7 @@ import pytest
 from turnstile.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
-QUERY_NAMES = ["active_at", "ban_changes"]
+QUERY_NAMES = ["active_at", "ban_changes", "ban_count"]
 
 
 @pytest.fixture(scope="module")
