@@ -9,7 +9,7 @@ import pytest
 from turnstile.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
-QUERY_NAMES = ["active_at", "ban_changes", "ban_count", "ban_expiry", "ban_table", "bans_jsonl"]
+QUERY_NAMES = ["active_at", "ban_changes", "ban_count", "ban_expiry", "ban_table", "bans_jsonl", "blocklist_delta"]
 
 
 @pytest.fixture(scope="module")
