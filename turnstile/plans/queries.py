@@ -818,7 +818,7 @@ def failures_per_hour(spark, sf):
 FROM (SELECT *, lag(ts) OVER (PARTITION BY ip ORDER BY ts, seq) AS before FROM ({O.FAIL}) f) x) y GROUP BY ip, s""")
 def attack_sessions(spark, sf):
     """Failures of an address with less than six hours between them."""
-    session = F.session_window(F.timestamp_seconds("ts"), "6 hours")
+    session = F.session_window(F.timestamp_seconds("ts"), f"{6 * 3600 - 1} seconds")  # windows that touch are one, and times are whole seconds
     df = fails(spark, sf).groupBy("ip", session.alias("w")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("failures"))
     return df.select("ip", "first", "last", "failures")
 
