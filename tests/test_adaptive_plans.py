@@ -10,7 +10,7 @@ from turnstile.operators import timeline
 from turnstile.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.01"
-QUERY_NAMES = ["active_at", "ban_changes", "ban_count", "ban_expiry", "ban_table", "bans_jsonl", "blocklist_delta", "ban_gaps", "ban_timeline"]
+QUERY_NAMES = ["active_at", "ban_changes", "ban_count", "ban_expiry", "ban_table", "bans_jsonl", "blocklist_delta", "ban_gaps", "ban_timeline", "bans_by_country"]
 
 
 @pytest.fixture(scope="module")
